@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from loomline.llm.distinct import distinct_counts, next_day_overlap
 from loomline.llm.frequent import frequent_items
+from loomline.llm.leaks import WINDOW, leaks
+from loomline.llm.lookalike import normalized, same_look_pairs
+from loomline.llm.packing import containers
 from loomline.llm.quantiles import joined, partials
 from loomline.sources.tables import table
 
@@ -47,7 +50,29 @@ def p5_all_days(spark: SparkSession, sf: str) -> DataFrame:
     return joined(partials(table(spark, sf, "samples"), table(spark, sf, "timeseries")), ["metric", "label_name", "label_value"])
 
 
-QUERIES = {"p2_distinct": p2_distinct, "p2_next_day": p2_next_day, "p4_found": p4_found, "p4_values": p4_values, "p4_series": p4_series, "p5_percentiles": p5_percentiles, "p5_all_days": p5_all_days}
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return containers(table(spark, sf, "documents"))
+
+
+def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a passage of an item, exact or within the error budget."""
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_leaks(spark, sf).where(F.col("exact_words") >= WINDOW).select("doc_id", "item_id")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return same_look_pairs(table(spark, sf, "documents"))
+
+
+def p9_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's text in its consistent form."""
+    return normalized(table(spark, sf, "documents"))
+
+
+QUERIES = {"p2_distinct": p2_distinct, "p2_next_day": p2_next_day, "p4_found": p4_found, "p4_values": p4_values, "p4_series": p4_series, "p5_percentiles": p5_percentiles, "p5_all_days": p5_all_days, "p7_containers": p7_containers, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_texts": p9_texts}
 
 FREQUENT_SQL = """WITH c AS (SELECT {groups}, {item} AS item, count(*) AS n_rows FROM (SELECT *, strftime(seen_at, '%Y-%m-%d') AS day FROM label_log) WHERE {known} GROUP BY ALL),
 t AS (SELECT *, sum(n_rows) OVER (PARTITION BY {groups})::BIGINT AS group_rows FROM c)
