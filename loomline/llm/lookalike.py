@@ -44,6 +44,8 @@ ALSO_CYRILLIC = {"У": "Y"}
 
 LATIN, GREEK, CYRILLIC = "Latin", "Greek", "Cyrillic"
 TOKEN = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
+#: Greek and Cyrillic letters that no Latin letter looks like, as far as looks still hold any.
+OTHER_SCRIPT = re.compile("[\u0370-\u052f\u1f00-\u1fff]")
 PAIRS = "doc_id_a bigint, doc_id_b bigint"
 #: Documents of one look beyond which its pairs are made in several tasks.
 LOOK_ROWS = 2000
@@ -52,20 +54,20 @@ LOOK_ROWS = 2000
 @cache
 def tables() -> tuple[dict, dict, dict, dict]:
     """Character folding, look classes, scripts per class, spelling per script and class."""
-    fold: dict[int, str | None] = {}
+    fold: dict[str, str] = {}
     for cp in range(sys.maxunicode + 1):
         if cp < 0x80:
             continue
         ch = chr(cp)
         cat = unicodedata.category(ch)
         if cat == "Cf" or 0xFE00 <= cp <= 0xFE0F or cp == 0x34F or 0xE0100 <= cp <= 0xE01EF:
-            fold[cp] = None
+            fold[ch] = ""
         elif cat == "Zs":
-            fold[cp] = " "
+            fold[ch] = " "
         elif unicodedata.decomposition(ch).startswith(("<wide>", "<narrow>")) or 0xFB00 <= cp <= 0xFB06:
-            fold[cp] = unicodedata.normalize("NFKC", ch)
-    fold[9] = " "
-    look = {ord(c): l for l, c in (*LIKE_LATIN_CYRILLIC.items(), *LIKE_LATIN_GREEK.items(), *LIKE_GREEK_CYRILLIC.items())} | {ord(c): l for c, l in ALSO_CYRILLIC.items()}
+            fold[ch] = unicodedata.normalize("NFKC", ch)
+    fold["\t"] = " "
+    look = {c: l for l, c in (*LIKE_LATIN_CYRILLIC.items(), *LIKE_LATIN_GREEK.items(), *LIKE_GREEK_CYRILLIC.items())} | {c: l for c, l in ALSO_CYRILLIC.items()}
     scripts: dict[str, set[str]] = {}
     spelt: dict[str, dict[int, str]] = {GREEK: {}, CYRILLIC: {}}
     for like, mine, other in ((LIKE_LATIN_CYRILLIC, LATIN, CYRILLIC), (LIKE_LATIN_GREEK, LATIN, GREEK), (LIKE_GREEK_CYRILLIC, GREEK, CYRILLIC)):
@@ -90,12 +92,23 @@ def scripts_of(ch: str) -> frozenset[str]:
     return frozenset([unicodedata.name(ch, "?").split(" ")[0]])
 
 
+def replaced(text: str, by: dict[str, str]) -> str:
+    """Every character of ``by`` replaced; a text holds few of them, so each is one fast pass."""
+    for ch in set(text) & by.keys():
+        text = text.replace(ch, by[ch])
+    return text
+
+
+def folded(text: str) -> str:
+    """One character for each kind of space and width, no invisible ones, letters and accents apart."""
+    return unicodedata.normalize("NFD", replaced(text, tables()[0]))
+
+
 def skeleton(text: str) -> str:
     """Looks: decomposed, every letter by the first spelling of its class."""
     if text.isascii():
         return text.replace("\t", " ")
-    fold, look, _, _ = tables()
-    return unicodedata.normalize("NFD", text.translate(fold)).translate(look)
+    return replaced(folded(text), tables()[1])
 
 
 def resolved(token: str) -> frozenset[str]:
@@ -114,8 +127,8 @@ def resolved(token: str) -> frozenset[str]:
 def normal(text: str, by_text: bool = True) -> str:
     """The consistent form. ``by_text`` false: tokens that several scripts could write are Latin if that is one of them."""
     looks = skeleton(text)
-    if looks.isascii():
-        return looks
+    if not OTHER_SCRIPT.search(looks):
+        return unicodedata.normalize("NFC", looks)
     spelt = tables()[3]
     seen: dict[str, frozenset[str]] = {}
     votes: Counter = Counter()
@@ -141,14 +154,14 @@ def normal(text: str, by_text: bool = True) -> str:
 
 def token_report(text: str) -> tuple[int, int]:
     """Tokens whose letters mix scripts, and tokens wholly in another script's look-alikes."""
-    fold, look, _, _ = tables()
-    t = unicodedata.normalize("NFD", text.translate(fold))
+    look = tables()[1]
+    t = folded(text)
     mixed = whole = 0
     for m in TOKEN.finditer(t):
         own = {script_by_code(c) for c in m.group() if not "̀" <= c <= "ͯ"}
         if len(own) > 1:
             mixed += 1
-        elif own & {GREEK, CYRILLIC} and LATIN in resolved(m.group().translate(look)):
+        elif own & {GREEK, CYRILLIC} and LATIN in resolved(replaced(m.group(), look)):
             whole += 1
     return mixed, whole
 
