@@ -44,7 +44,7 @@ def rounded(x: Column, to: float = 1.0) -> Column:
 
 
 def sign(x: Column) -> Column:
-    return F.when(x > 0, 1.0).when(x < 0, -1.0).otherwise(0.0)
+    return F.when(F.isnan(x), 0.0).when(x > 0, 1.0).when(x < 0, -1.0).otherwise(0.0)
 
 
 def asinh(x: Column) -> Column:

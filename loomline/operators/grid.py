@@ -164,6 +164,11 @@ def fill(ts: np.ndarray, x: np.ndarray, step: np.ndarray, starts: np.ndarray, le
     return value, np.where(seen[g], np.sqrt(np.maximum(p00, 0.0)) * unit[g], np.nan)
 
 
+def span_of(step: np.ndarray) -> np.ndarray:
+    """Length of a block in ms: BLOCK intervals, and more than AWAY_MS."""
+    return step * np.maximum(BLOCK, -(-AWAY_MS // step) + 1)
+
+
 def make_kernel(everything: bool):
     def kernel(cols: dict[str, np.ndarray], starts: np.ndarray) -> dict[str, object]:
         ok = ~np.isnan(cols["value"])
@@ -199,7 +204,9 @@ def make_kernel(everything: bool):
             value, sd = np.r_[value, v2], np.r_[sd, s2]
         # open ends: a gap may reach from the block's last reading beyond its context
         lone_end = np.flatnonzero(home & tail)
-        lone_begin = np.flatnonzero(home & np.r_[True, group[1:] != group[:-1]]) if n else np.zeros(0, int)
+        # the first own reading of a block is out of its predecessor's sight beyond the context
+        first_own = home & np.r_[True, (group[1:] != group[:-1]) | ~home[:-1]] if n else np.zeros(0, bool)
+        lone_begin = np.flatnonzero(first_own & (ts - block * span_of(step) >= CONTEXT * step))
         open_ = [(1, i, max(edges[np.searchsorted(edges, i, "right") - 1], i + 1 - TAIL), i + 1) for i in lone_end] + [(2, i, i, min(edges[np.searchsorted(edges, i, "right")], i + TAIL)) for i in lone_begin]
         m, e = len(value), len(open_)
         nan = np.isnan(value)
@@ -257,7 +264,7 @@ def regular_grid(samples: DataFrame, timeseries: DataFrame, everything: bool = T
     dims = series_dims(timeseries).select("series_id", "interval_ms")
     rows = join_small(samples.select("series_id", "ts_ms", "value", "ingested_at"), dims, "series_id", "left")
     rows = rows.withColumn("interval_ms", F.coalesce("interval_ms", F.lit(DEFAULT_INTERVAL_MS)))
-    day = F.ceil(F.lit(AWAY_MS) / F.col("interval_ms")).cast("long") + 1
+    day = F.ceil(F.lit(AWAY_MS) / F.col("interval_ms")).cast("long") + 1  # as in span_of
     rows = rows.withColumn("span", F.col("interval_ms") * F.greatest(F.lit(BLOCK).cast("long"), day)).withColumn("context", F.col("interval_ms") * CONTEXT)
     out = cut(over_blocks(to_blocks(rows, "span", "context", ["interval_ms"]), make_kernel(everything), f"{SLOTS}, {EDGE}"))
     names = ["series_id", "slot_ms", "value", "sd", "n_readings", "missing"]

@@ -51,7 +51,7 @@ def fixed_quantile(parts: DataFrame, q: float, bounds: list[float], keys: list[s
     edges = sorted(bounds)
     r = running(parts, keys).withColumn("target", F.col("total") * q)
     first = Window.partitionBy(*keys).orderBy("bucket")
-    hit = r.where(F.col("before") + F.col("n") >= F.col("target")).withColumn("k", F.row_number().over(first)).where("k = 1")
+    hit = r.where(F.col("before") + F.col("n") >= F.col("target")).withColumn("_rank", F.row_number().over(first)).where("_rank = 1")
     low = F.element_at(F.array(*[F.lit(float(b)) for b in edges]), F.greatest(F.col("bucket"), F.lit(1)))
     high = F.when(F.col("bucket") >= len(edges), F.col("high")).otherwise(F.element_at(F.array(*[F.lit(float(b)) for b in edges]), F.least(F.col("bucket") + 1, F.lit(len(edges)))))
     value = F.when(F.col("bucket") == 0, F.col("low")).otherwise(low + (high - low) * (F.col("target") - F.col("before")) / F.col("n"))

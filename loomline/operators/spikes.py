@@ -1,8 +1,8 @@
 """Implausible readings: a hidden Markov model per source.
 
 States: normal, spike, stuck, out of range. Each reading gives three observations: its distance from
-the source's course in units of the source's scatter, whether it repeats the reading before, and
-whether the unit allows it. Forward-backward probabilities, joined with hard bounds, set the flags.
+the source's course in units of the source's scatter, whether it lies in a long run of equal readings,
+and whether the unit allows it. Forward-backward probabilities, joined with hard bounds, set the flags.
 
 Defined cases. Rows with null or NaN value are no readings; of several rows with one time the last
 ingested counts. Infinite readings are always flagged. A series without a metric in the catalogue has
@@ -83,21 +83,20 @@ def distances(x: np.ndarray) -> tuple[np.ndarray, bool]:
     return z, held
 
 
-def posteriors(z: np.ndarray, repeats: np.ndarray, base: np.ndarray, barred: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def posteriors(z: np.ndarray, in_run: np.ndarray, base: np.ndarray, barred: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Forward-backward state probabilities (rows x 4) of groups of rows given by ``starts``.
 
-    base: probability that a normal reading repeats the one before; held sources have about 1 and so
-    never look stuck.
+    in_run: the reading is one of STUCK or more equal ones in a row. base: probability of that for
+    normal readings; held sources have about 1 and so never look stuck.
     """
     n = len(z)
     e = np.empty((n, 4))
     far = z > FAR
     zc = np.minimum(z, 1e12)
-    e[:, 0] = np.where(far, np.exp(-0.5 * np.minimum(zc / 1.5, 30.0) ** 2), np.exp(-0.5 * (zc / 1.5) ** 2)) / (1.5 * 2.5066)
+    e[:, 0] = np.where(far, 0.0, np.exp(-0.5 * (np.minimum(zc, FAR) / 2.5) ** 2)) / (2.5 * 2.5066)
     e[:, 1] = np.where(far, 1.0 / (np.maximum(zc, FAR) * 26.0), 0.0)
-    e[:, 2] = 0.25
-    e[:, :2] *= np.where(repeats, base, 1.0 - base)[:, None]
-    e[:, 2] *= np.where(repeats, 0.999, 0.001)
+    e[:, :2] *= np.where(in_run, base, 1.0 - base)[:, None]
+    e[:, 2] = np.where(in_run, 0.2 * (1.0 - base), 0.0)
     e[:, 3] = 0.0
     e[barred] = (0.0, 0.0, 0.0, 1.0)
     e += 1e-300
@@ -152,24 +151,18 @@ def make_kernel(gauge: np.ndarray, lo: np.ndarray, hi: np.ndarray, everything: b
         g = np.flatnonzero(gauge[code])
         if len(g):
             gx, gg, gb = x[g], group[g], barred[g]
-            z, base = np.zeros(len(g)), np.full(len(g), 0.2)
-            stuckable = np.ones(len(g), bool)
+            z, base = np.zeros(len(g)), np.full(len(g), 0.02)
             edges = np.r_[0, np.flatnonzero(gg[1:] != gg[:-1]) + 1, len(g)]
             for a, b in zip(edges[:-1], edges[1:]):
                 use = np.flatnonzero(~gb[a:b]) + a
                 if len(use) < MIN_READINGS:
-                    stuckable[a:b] = len(use) >= STUCK
                     continue
                 z[use], held = distances(gx[use])
                 if held:
-                    base[a:b], stuckable[a:b] = 0.999, False
-            repeats = np.r_[False, (gx[1:] == gx[:-1]) & (gg[1:] == gg[:-1])]
-            p[g] = q = posteriors(z, repeats, base, gb, edges)
+                    base[a:b] = 0.999
             run = equal_runs(gx, gg)
-            head = np.flatnonzero(np.r_[True, (gx[1:] != gx[:-1]) | (gg[1:] != gg[:-1])])
-            most = np.repeat(np.maximum.reduceat(q[:, 2], head), np.diff(np.r_[head, len(g)]))
-            stuck = (run >= STUCK) & stuckable & ((most > 0.5) | gb)
-            flag[g] = np.where(gb, 3, np.where(stuck, 2, np.where(q[:, 1] > 0.5, 1, 0)))
+            p[g] = q = posteriors(z, run >= STUCK, base, gb, edges)
+            flag[g] = np.where(gb, 3, np.where(q[:, 2] > 0.5, 2, np.where(q[:, 1] > 0.5, 1, 0)))
         pick = home if everything else home & (flag > 0)
         return {"series_id": sid[pick], "ts_ms": ts[pick], "value": x[pick], "flag": np.array(["normal", "spike", "stuck", "out_of_range"], object)[flag[pick]], "p_spike": p[pick, 1], "p_stuck": p[pick, 2]}
 

@@ -280,7 +280,7 @@ class Compiler:
         lo, hi = self.reach(m, g)
         # the pair serves the steps whose window also holds the sample before
         both = F.least(steps_from(F.col("prev_ts"), m.offset_ms + m.range_ms + 1, g) - 1, F.lit(g.n - 1))
-        rows = rows.withColumn("lo", lo).withColumn("hi", hi).withColumn("pair_hi", F.coalesce(both, F.lit(-1))).where("lo <= hi")
+        rows = rows.withColumn("lo", lo).withColumn("hi", hi).withColumn("pair_hi", F.when(F.col("prev_ts").isNull(), -1).otherwise(both)).where("lo <= hi")
         if name in ("irate", "idelta"):
             rows = rows.select("lkey", F.explode(F.sequence("lo", "hi")).alias("k"), "ts_ms", "gain", "prev_ts", "pair_hi")
             last = rows.groupBy("lkey", "k").agg(F.max_by(F.struct("gain", "prev_ts", "ts_ms", "pair_hi"), "ts_ms").alias("x")).where("x.pair_hi >= k")
