@@ -48,12 +48,26 @@ def course(x: np.ndarray, half: int = HALF) -> np.ndarray:
 
 
 def distances(x: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Distance of each reading from the course in scatters; whether the source holds values for long."""
+    """Distance of each reading from the course in scatters; whether the source holds values for long.
+
+    Unless it does, a run of STUCK or more equal readings counts once, so that it can't pass for scatter.
+    """
+    lengths = np.diff(np.r_[-1, np.flatnonzero(x[1:] != x[:-1]), len(x) - 1])
+    held = bool(np.median(lengths) >= 4)
+    if held or lengths.max() < STUCK:
+        return departures(x, held), held
+    first = np.cumsum(lengths) - lengths
+    use = np.repeat(lengths < STUCK, lengths)
+    use[first] = True
+    z = np.zeros(len(x))
+    if use.sum() >= MIN_READINGS:
+        z[use] = departures(x[use], False)
+    return z, False
+
+
+def departures(x: np.ndarray, held: bool) -> np.ndarray:
     n = len(x)
     dx = np.abs(np.diff(x))
-    change = np.flatnonzero(dx > 0)
-    lengths = np.diff(np.r_[-1, change, n - 1])
-    held = bool(np.median(lengths) >= 4)
     m = course(x)
     r = np.abs(x - m)
     size = float(np.abs(np.median(x)))
@@ -80,7 +94,7 @@ def distances(x: np.ndarray) -> tuple[np.ndarray, bool]:
         a, b = int(np.argmax(on)), n - int(np.argmax(on[::-1]))
         z[:a] = np.where(z[:a] > FAR, 0.0, z[:a])
         z[b:] = np.where(z[b:] > FAR, 0.0, z[b:])
-    return z, held
+    return z
 
 
 def posteriors(z: np.ndarray, in_run: np.ndarray, base: np.ndarray, barred: np.ndarray, starts: np.ndarray) -> np.ndarray:
