@@ -83,9 +83,25 @@ def restored(kept: Column, length: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.coalesce(at[i], F.lit(0.0)))
 
 
+def inverted(items: DataFrame, item_id: str, concepts: str) -> DataFrame:
+    """(concept, item_id) of an array column, or of a plain one: look up by filtering ``concept``."""
+    kind = items.schema[concepts].dataType.simpleString()
+    each = F.explode(F.array_distinct(F.col(concepts))) if kind.startswith("array") else F.col(concepts)
+    return items.select(each.alias("concept"), F.col(item_id)).where("concept is not null")
+
+
 # ------------------------------------------------------------------------------------------------- graphs
 
 
+def with_edges(edges: DataFrame, more: DataFrame) -> DataFrame:
+    """Edges with others added; of two weights of one pair the added one holds."""
+    return edges.join(more, ["src", "dst"], "left_anti").select("src", "dst", "corr").unionByName(more.select("src", "dst", "corr"))
+
+
+def without_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    return edges.join(gone, ["src", "dst"], "left_anti").select("src", "dst", "corr")
+
+
 def correlations(points: DataFrame, pairs: DataFrame, rank: bool = False) -> DataFrame:
     """Pearson (or with ``rank`` Spearman, ordinal ranks) of stated pairs (src, dst) of series (sid, t, x) over common t.
 

@@ -83,6 +83,7 @@ add("q_matcher_regex", 'events_total{event_type=~"cl.*|view",shard=~"[12]"}', ES
 add("q_matcher_not_regex", 'events_total{event_type!~"c.*",shard!~"0|3"}', ES, inst("events_total", "NOT regexp_full_match(event_type, 'c.*') AND shard NOT IN ('0', '3')"))
 add("q_matcher_absent_label", 'event_value{nope=""}', ET, inst("event_value"))
 add("q_matcher_name_regex", '{__name__=~"event_val.*",event_type="view"}', ["__name__", *ET], f"SELECT 'event_value' AS name, * FROM ({inst('event_value', "event_type = 'view'")})", views=("event_value",))
+add("q_every_series", 'count by (__name__) ({__name__=~".+"})', ["__name__"], f"SELECT 'event_value' AS name, ts_ms, count(*)::DOUBLE AS value FROM ({inst('event_value')}) GROUP BY ALL UNION ALL SELECT 'shard_weight', ts_ms, count(*)::DOUBLE FROM ({inst('shard_weight')}) GROUP BY ALL", views=("event_value", "shard_weight"))
 add("q_literal", "1.5e1", [], "SELECT step AS ts_ms, 15.0 AS value FROM grid", views=("event_value",))
 # ---------------------------------------------------------------------------------------- range functions
 for n, value, having in (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,11 @@ from loomline.operators import vectors as V
 from loomline.operators.rules import DropRules, RecordingRule, backfill, record
 from loomline.plans.catalog import AT, BACK, CUT, END, ES, RATE, SQL_VIEWS, STEP, TWO, inst, wq
 from loomline.plans.problems import INTERVAL_SQL
+from loomline.runtime import ensure_checkpoint_dir
 from loomline.sources import ingest, store
 from loomline.sources.tables import series_dims, table
 from loomline.sources.views import DAY, T0, event_metrics, millis, stored_samples
+from loomline.streaming import live
 
 HOUR = 3_600_000
 QUERIES: dict = {}
@@ -166,6 +170,35 @@ def i_columns(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("metric", *[L.label(F.col("lkey"), x).alias(x) for x in ("priority", "status")]).agg(F.count(F.lit(1)).alias("n"), cut(F.sum("value"), 1).alias("total"))
 
 
+@query(f"WITH {SQL_VIEWS['events_total']} SELECT event_type, shard, ts_ms, value FROM events_total WHERE ts_ms BETWEEN {AT - DAY} AND {AT} AND (shard = '1' OR event_type IN ('view', 'click'))")
+def i_remote_read(spark: SparkSession, sf: str) -> DataFrame:
+    e = events(spark, sf, "events_total", "event_value")
+    got = e.matching(['events_total{shard="1"}', 'events_total{event_type=~"view|click"}'], AT - DAY, AT)
+    return got.select(*[L.label(F.col("lkey"), x).alias(x) for x in ES], "ts_ms", "value")
+
+
+@query("SELECT fault, count(*) AS n FROM (SELECT CASE WHEN len(map_keys(labels)) = 0 THEN 'no labels' WHEN len(list_filter(map_values(labels), lambda v: v IS NULL OR v = '')) > 0 THEN 'empty label value' END AS fault FROM timeseries) WHERE fault IS NOT NULL GROUP BY 1")
+def i_faults(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "timeseries").select("labels", F.unix_millis(F.col("registered_at").cast("timestamp")).alias("ts_ms"), F.lit(1.0).alias("value"))
+    return ingest.faults(t).groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --------------------------------------------------------------------------------------------------- streams
+
+
+@query(f"SELECT event_type, (epoch_us(ts) // 1000) // {HOUR} * {HOUR} AS ts_ms, count(*) AS n, {sql_cut('sum(value)', 2)} AS total, min(value) AS low, max(value) AS high FROM events GROUP BY ALL")
+def t_stream_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """The events read as a stream and rolled up by hour of event time."""
+    schema = table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")  # a pattern: the table may be a file
+    # events of a series within one ms are different events here, so each is a series of its own
+    rows = stream.select(F.lit("event_value").alias("metric"), F.col("event_type").alias("lkey"), millis("ts").alias("ts_ms"), "value")
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    out = live.drained(live.rolled(rows, "1 hour", late="60 days"), f"{base}/out", f"{base}/state")
+    return out.select(F.col("lkey").alias("event_type"), "ts_ms", "n", cut(F.col("total"), 2).alias("total"), "low", "high")
+
+
 # ---------------------------------------------------------------------------------------------------- rules
 INSTANT_GRID = f"grid AS (SELECT {AT}::BIGINT AS step)"
 RANGE_GRID = f"grid AS (SELECT unnest(range({T0}, {END + 1}, {STEP}))::BIGINT AS step)"
@@ -297,6 +330,12 @@ def v_pruned(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("vec_id", F.size("p").alias("kept"), cut(total, 5).alias("total"))
 
 
+@query("SELECT label AS concept, count(*) AS n, min(vec_id) AS first FROM embeddings WHERE label IN (1, 3) GROUP BY 1")
+def v_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    index = V.inverted(table(spark, sf, "embeddings"), "vec_id", "label")
+    return index.where(F.col("concept").isin(1, 3)).groupBy("concept").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"))
+
+
 # --------------------------------------------------------------------------------------------------- graphs
 POINTS_SQL = "points AS (SELECT event_type || '/' || (user_id % 4) AS sid, event_type, user_id % 4 AS shard, (epoch_us(ts) // 86400000000)::BIGINT AS t, sum(value) AS x FROM events GROUP BY ALL)"
 CORR_SQL = f"{POINTS_SQL}, ids AS (SELECT DISTINCT sid, event_type, shard FROM points), pairs AS (SELECT a.sid AS src, b.sid AS dst FROM ids a JOIN ids b ON a.event_type = b.event_type AND a.shard + 1 = b.shard UNION ALL SELECT a.sid, b.sid FROM ids a JOIN ids b ON a.shard = b.shard AND b.event_type = CASE a.event_type WHEN 'click' THEN 'view' WHEN 'view' THEN 'signup' END), j AS (SELECT src, dst, a.t, a.x AS xa, b.x AS xb FROM pairs JOIN points a ON a.sid = src JOIN points b ON b.sid = dst AND b.t = a.t)"
@@ -342,6 +381,13 @@ def g_compressed(spark: SparkSession, sf: str) -> DataFrame:
     return V.compressed(V.correlations(*graph(spark, sf)), 0.1).withColumn("corr", cut(F.col("corr"), 6))
 
 
+@query(f"WITH {EDGES_SQL} SELECT src, dst, {sql_cut("CASE WHEN src LIKE 'click/%' THEN 1 ELSE c END", 6)} AS corr FROM edges WHERE NOT dst LIKE 'view/%'")
+def g_edited(spark: SparkSession, sf: str) -> DataFrame:
+    edges = V.correlations(*graph(spark, sf))
+    more = edges.where("src like 'click/%'").withColumn("corr", F.lit(1.0))
+    return V.without_edges(V.with_edges(edges, more), edges.where("dst like 'view/%'")).withColumn("corr", cut(F.col("corr"), 6))
+
+
 @query(f"WITH {EDGES_SQL}, {BOTH} SELECT src AS node, count(*) AS degree FROM b GROUP BY 1 ORDER BY degree DESC, node LIMIT 5")
 def g_influential(spark: SparkSession, sf: str) -> DataFrame:
     return V.influential(V.correlations(*graph(spark, sf)), 5)

@@ -103,3 +103,23 @@ def columns(df: DataFrame, path: str = "", ts: str = "timestamp", value: str = "
 def from_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """(labels dict with ``__name__``, ts_ms, value) tuples; for tests and small literal inputs."""
     return from_labels(spark.createDataFrame(rows, "labels map<string,string>, ts_ms bigint, value double"))
+
+
+#: Names that the label model allows.
+LABEL_NAME = r"^[a-zA-Z_][a-zA-Z0-9_.]*$"
+METRIC_NAME = r"^[a-zA-Z_:][a-zA-Z0-9_:.]*$"
+
+
+def faults(df: DataFrame) -> DataFrame:
+    """Rows (labels map, ts_ms, value) that break the model, with the first fault found: for reports before a write."""
+    names = F.map_keys("labels")
+    metric = F.col("labels")[L.NAME]
+    fault = (
+        F.when(F.col("labels").isNull() | (F.size("labels") == 0), "no labels")
+        .when(F.exists(names, lambda n: ~n.rlike(LABEL_NAME)), "label name")
+        .when(metric.isNotNull() & ~metric.rlike(METRIC_NAME), "metric name")
+        .when(F.exists(F.map_values("labels"), lambda v: v.isNull() | (v == "")), "empty label value")
+        .when(F.col("ts_ms").isNull() | (F.col("ts_ms") < 0), "time")
+        .when(F.col("value").isNull(), "no value")
+    )
+    return df.withColumn("fault", fault).where("fault is not null")

@@ -23,6 +23,15 @@ def rolled(samples: DataFrame, width: str = "5 minutes", slide: str | None = Non
     return rows.groupBy(F.window("event_time", width, slide), "metric", "lkey").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.min("value").alias("low"), F.max("value").alias("high")).select(F.unix_millis(F.col("window.start")).alias("ts_ms"), "metric", "lkey", "n", "total", "low", "high")
 
 
+def drained(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run an aggregating stream over what is there now; its last complete result, kept in ``path``."""
+    def batch(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(path)
+
+    stream.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
 def ingest(samples: DataFrame, path: str, checkpoint: str, rules: list[RecordingRule] | None = None, drop: DropRules | None = None, lookback_ms: int = 300_000) -> StreamingQuery:
     """Append every batch to the store and run the recording rules at the batch's last time.
 
