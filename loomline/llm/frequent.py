@@ -24,16 +24,22 @@ def bucket(item: Column, seed: int, buckets: int) -> Column:
     return F.pmod(F.xxhash64(item, F.lit(seed)), F.lit(buckets)).cast("int")
 
 
-def bit_words(numbers: Column, buckets: int) -> Column:
-    """A set of bucket numbers as an array of 64-bit words."""
-    words = F.sequence(F.lit(0), F.lit(buckets // 64 - 1))
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(x, F.lit(64)))
-    return F.transform(words, lambda w: F.aggregate(F.filter(numbers, lambda x: F.floor(x / 64).cast("int") == w), F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(bit(x))))
+def bit(number: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(number, F.lit(64)))
+
+
+def word(number: Column) -> Column:
+    return F.floor(number / 64).cast("int")
+
+
+def all_words(some: Column, buckets: int) -> Column:
+    """A set of buckets as an array of 64-bit words, from the (word, bits) pairs that are not zero."""
+    by_word = F.map_from_entries(some)
+    return F.transform(F.sequence(F.lit(0), F.lit(buckets // 64 - 1)), lambda w: F.coalesce(F.try_element_at(by_word, w), F.lit(0).cast("bigint")))
 
 
 def has_bit(words: Column, number: Column) -> Column:
-    word = F.element_at(words, (F.floor(number / 64) + 1).cast("int"))
-    return F.call_function("shiftrightunsigned", word, F.pmod(number, F.lit(64))).bitwiseAND(F.lit(1).cast("bigint")) == 1
+    return F.element_at(words, word(number) + 1).bitwiseAND(bit(number)) != 0
 
 
 def frequent_items(rows: DataFrame, groups: list[str], item: str, num: int, den: int, hashes: int = HASHES, buckets: int = BUCKETS) -> DataFrame:
@@ -53,9 +59,10 @@ def frequent_items(rows: DataFrame, groups: list[str], item: str, num: int, den:
     coarse = items.select(*groups, spots.alias("s")).groupBy(*groups, "s.hash", "s.bucket").agg(F.count(F.lit(1)).alias("n"))
     whole = F.sum("n").over(Window.partitionBy(*groups, "hash"))
     heavy = coarse.withColumn("group_rows", whole).where(F.col("n") * den >= F.col("group_rows") * num)
-    found = [F.collect_list(F.when(F.col("hash") == h, F.struct("bucket", "n"))).alias(f"h{h}") for h in range(hashes)]
-    filters = heavy.groupBy(*groups).agg(F.max("group_rows").alias("group_rows"), *found)
-    filters = filters.select(*groups, "group_rows", *[bit_words(F.col(f"h{h}.bucket"), buckets).alias(f"w{h}") for h in range(hashes)])
+    sets = heavy.groupBy(*groups, "hash", word(F.col("bucket")).alias("word")).agg(F.bit_or(bit(F.col("bucket"))).alias("bits"), F.max("group_rows").alias("group_rows"))
+    found = [F.collect_list(F.when(F.col("hash") == h, F.struct("word", "bits"))).alias(f"h{h}") for h in range(hashes)]
+    filters = sets.groupBy(*groups).agg(F.max("group_rows").alias("group_rows"), *found)
+    filters = filters.select(*groups, "group_rows", *[all_words(F.col(f"h{h}"), buckets).alias(f"w{h}") for h in range(hashes)])
     tested = join_small(items, filters, groups)
     for h in range(hashes):
         tested = tested.where(has_bit(F.col(f"w{h}"), bucket(F.col("item"), h, buckets)))
