@@ -16,7 +16,7 @@ from loomline.plans.syntax import Matcher, QueryError, Selector, parse
 class Engine:
     """Queries over samples (metric, labels or lkey, ts_ms, value [, fields, date, promoted label columns])."""
 
-    def __init__(self, spark: SparkSession, samples: DataFrame, lookback_ms: int = 300_000, reset: str = "prometheus"):
+    def __init__(self, spark: SparkSession, samples: DataFrame, lookback_ms: int = 300_000, reset: str = "new"):
         self.spark, self.options = spark, Options(lookback_ms, reset)
         self.samples = samples if "lkey" in samples.columns else samples.withColumn("lkey", L.key_of_map(F.col("labels")))
 

@@ -10,7 +10,7 @@ range, so no task sorts a whole series.
 Decisions where dialects differ: both lookbacks are open on the left; results carry the evaluation
 time; functions drop the metric name, selectors, comparisons, sorts and ``last_over_time`` keep it;
 rates are not extrapolated and need two samples; a counter reset counts the new value (option
-``reset="reference"``: the sum of old and new).
+``reset="sum"``: the sum of old and new).
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ class Grid:
 @dataclass
 class Options:
     lookback_ms: int = 300_000
-    reset: str = "prometheus"
+    reset: str = "new"
 
 
 @dataclass
@@ -248,7 +248,7 @@ class Compiler:
 
     def neighbours(self, m: Matrix) -> DataFrame:
         """Samples with the one before (prev_ts, prev), as far as one window can hold both."""
-        width = max(m.range_ms, BUCKET_MS)
+        width = max(4 * m.range_ms, BUCKET_MS)  # at most a quarter of the samples is sent twice
         bucket = (F.col("ts_ms") - F.pmod("ts_ms", F.lit(width))) / F.lit(width)
         late = F.pmod("ts_ms", F.lit(width)) >= width - m.range_ms
         to = F.when(late, F.array(F.struct(bucket.cast("long").alias("b"), F.lit(True).alias("home")), F.struct((bucket.cast("long") + 1).alias("b"), F.lit(False).alias("home")))).otherwise(F.array(F.struct(bucket.cast("long").alias("b"), F.lit(True).alias("home"))))
@@ -268,7 +268,7 @@ class Compiler:
         v, p = F.col("value"), F.col("prev")
         if m.phase:
             raise QueryError(f"{name} over a subquery needs a step that is a multiple of its resolution")
-        reset = v if self.options.reset == "prometheus" else p + v
+        reset = v if self.options.reset == "new" else p + v
         gain = {
             "rate": F.when(v < p, reset).otherwise(v - p),
             "changes": (~(F.isnan(v) & F.isnan(p)) & (N.compare("!=", v, p))).cast("double"),

@@ -80,7 +80,7 @@ def test_scalars_and_signs(counters):
 def test_reset_and_few_samples(spark):
     e = engine(spark, [("c", {}, T, 10), ("c", {}, T + 1000, 20), ("c", {}, T + 2000, 5), ("one", {}, T, 1)])
     assert values(e, "increase(c[10s])", T + 2000) == {"": 15.0}
-    assert values(engine(spark, [("c", {}, T, 10), ("c", {}, T + 1000, 20), ("c", {}, T + 2000, 5)], reset="reference"), "increase(c[10s])", T + 2000) == {"": 35.0}
+    assert values(engine(spark, [("c", {}, T, 10), ("c", {}, T + 1000, 20), ("c", {}, T + 2000, 5)], reset="sum"), "increase(c[10s])", T + 2000) == {"": 35.0}
     assert values(e, "resets(c[10s])", T + 2000) == {"": 1.0} and values(e, "changes(c[10s])", T + 2000) == {"": 2.0}
     assert values(e, "rate(one[10s])", T) == {} and values(e, "resets(one[10s])", T) == {"": 0.0}
     assert values(e, "delta(c[10s])", T + 2000) == {"": -5.0} and values(e, "idelta(c[10s])", T + 2000) == {"": -15.0}
@@ -108,13 +108,13 @@ def test_matching_errors_and_groups(spark):
 
 
 def test_labels(spark):
-    e = engine(spark, [("m", {"instance": "localhost:9090", "job": "prometheus", "Zone": "z"}, T, 1)])
-    assert list(values(e, 'label_replace(m, "port", "$1", "instance", "localhost:(.*)")', T)) == ["__name__=m,Zone=z,instance=localhost:9090,job=prometheus,port=9090"]
-    assert list(values(e, 'label_replace(m, "port", "$1", "instance", "x(.*)")', T)) == ["__name__=m,Zone=z,instance=localhost:9090,job=prometheus"]
+    e = engine(spark, [("m", {"instance": "localhost:9090", "job": "web", "Zone": "z"}, T, 1)])
+    assert list(values(e, 'label_replace(m, "port", "$1", "instance", "localhost:(.*)")', T)) == ["__name__=m,Zone=z,instance=localhost:9090,job=web,port=9090"]
+    assert list(values(e, 'label_replace(m, "port", "$1", "instance", "x(.*)")', T)) == ["__name__=m,Zone=z,instance=localhost:9090,job=web"]
     assert list(values(e, 'label_replace(m, "job", "", "instance", ".*")', T)) == ["__name__=m,Zone=z,instance=localhost:9090"]
-    assert list(values(e, 'label_join(m, "both", ":", "job", "nope", "Zone")', T)) == ["__name__=m,Zone=z,both=prometheus::z,instance=localhost:9090,job=prometheus"]
+    assert list(values(e, 'label_join(m, "both", ":", "job", "nope", "Zone")', T)) == ["__name__=m,Zone=z,both=web::z,instance=localhost:9090,job=web"]
     assert list(values(e, "sum by (__name__) (m)", T)) == ["__name__=m"]
-    assert list(values(e, 'm{Zone="z"} + 0', T)) == ["Zone=z,instance=localhost:9090,job=prometheus"]
+    assert list(values(e, 'm{Zone="z"} + 0', T)) == ["Zone=z,instance=localhost:9090,job=web"]
 
 
 def test_lookback_is_open_on_the_left(spark):
