@@ -111,6 +111,7 @@ add("q_holt_winters", f"holt_winters(event_value{R12}, 0.5, 0.1)", ET, f"""SELEC
 add("q_absent_over_time", 'absent_over_time(event_value_by_user{user_id="7",event_type="view"}[12h])', [], f"SELECT step AS ts_ms, 1.0 AS value FROM grid WHERE NOT EXISTS (SELECT 1 FROM event_value_by_user WHERE user_id = '7' AND event_type = 'view' AND ts_ms BETWEEN step - {RANGE} AND step)")
 add("q_subquery", "max_over_time(sum(rate(events_total[6h]))[1d:6h])", [], f"SELECT g2.step AS ts_ms, max(v) AS value FROM grid g2 JOIN (SELECT step, sum(value) AS v FROM ({win('events_total', RATE, TWO, r=BACK).replace('JOIN grid', 'JOIN (SELECT unnest(range(' + str(T0 - DAY) + ', ' + str(END + 1) + ', ' + str(STEP) + '))::BIGINT AS step) grid')}) GROUP BY 1) i ON i.step BETWEEN g2.step - {DAY} AND g2.step GROUP BY 1", places=8)
 add("q_subquery_uneven", "avg_over_time(event_value[12h:4h])", ET, f"WITH p AS (SELECT step, step - {RANGE} + j * 14400000 AS at FROM grid CROSS JOIN (SELECT unnest(range(0, 4)) AS j)), i AS (SELECT p.step, p.at, v.event_type, arg_max(v.value, v.ts_ms) AS value FROM p JOIN event_value v ON v.ts_ms > p.at - {BACK} AND v.ts_ms <= p.at GROUP BY ALL) SELECT event_type, step AS ts_ms, avg(value) AS value FROM i GROUP BY ALL")
+add("q_subquery_increase", "increase(event_value[1d:4h])", ET, f"WITH p AS (SELECT step, step - {DAY} + j * 14400000 AS u FROM grid CROSS JOIN (SELECT unnest(range(0, 7)) AS j)), i AS (SELECT p.step, p.u, v.event_type, arg_max(v.value, v.ts_ms) AS value FROM p JOIN event_value v ON v.ts_ms > p.u - {BACK} AND v.ts_ms <= p.u GROUP BY ALL), d AS (SELECT *, lag(value) OVER (PARTITION BY step, event_type ORDER BY u) AS prev FROM i) SELECT event_type, step AS ts_ms, coalesce(sum(CASE WHEN value < prev THEN value ELSE value - prev END), 0) AS value FROM d GROUP BY ALL HAVING count(*) >= 2", places=3)
 # ------------------------------------------------------------------------------------ element-wise functions
 PLUS, MINUS = inst("event_value"), inst("event_value").replace("arg_max(value, ts_ms)", "arg_max(value, ts_ms) - 150")
 for n, value in (

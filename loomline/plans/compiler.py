@@ -242,9 +242,12 @@ class Compiler:
         """Rows sent to every step (column k) whose window holds their ts_ms."""
         lo, hi = self.reach(m, g)
         df = df.withColumn("lo", lo).withColumn("hi", hi).where("lo <= hi").select("lkey", F.explode(F.sequence("lo", "hi")).alias("k"), "ts_ms", *keep)
-        if m.phase:
-            df = df.where(F.pmod(F.col("ts_ms") - (F.col("k") * g.step + g.start - m.offset_ms - m.range_ms), F.lit(m.phase)) == 0)
-        return df
+        return self.in_phase(m, g, df.withColumn("res", F.pmod("ts_ms", F.lit(m.phase)))).drop("res") if m.phase else df
+
+    @staticmethod
+    def in_phase(m: Matrix, g: Grid, df: DataFrame) -> DataFrame:
+        """Of a subquery's points (res: time modulo its resolution), those that step k asks for."""
+        return df.where(F.pmod(F.col("k") * g.step + (g.start - m.offset_ms - m.range_ms), F.lit(m.phase)) == F.col("res")) if m.phase else df
 
     def neighbours(self, m: Matrix) -> DataFrame:
         """Samples with the one before (prev_ts, prev), as far as one window can hold both."""
@@ -253,7 +256,9 @@ class Compiler:
         late = F.pmod("ts_ms", F.lit(width)) >= width - m.range_ms
         to = F.when(late, F.array(F.struct(bucket.cast("long").alias("b"), F.lit(True).alias("home")), F.struct((bucket.cast("long") + 1).alias("b"), F.lit(False).alias("home")))).otherwise(F.array(F.struct(bucket.cast("long").alias("b"), F.lit(True).alias("home"))))
         rows = m.df.select("lkey", "ts_ms", "value", F.explode(to).alias("to")).select("lkey", "ts_ms", "value", "to.b", "to.home")
-        w = Window.partitionBy("lkey", "b").orderBy("ts_ms")
+        # points of a subquery are neighbours only if they belong to the same steps
+        rows = rows.withColumn("res", F.pmod("ts_ms", F.lit(m.phase)) if m.phase else F.lit(0).cast("long"))
+        w = Window.partitionBy("lkey", "b", "res").orderBy("ts_ms")
         return rows.withColumn("prev_ts", F.lag("ts_ms").over(w)).withColumn("prev", F.lag("value").over(w)).where("home").drop("home")
 
     def window(self, name: str, m: Matrix, g: Grid, extra: list) -> DataFrame:
@@ -266,8 +271,6 @@ class Compiler:
 
     def paired(self, name: str, m: Matrix, g: Grid) -> DataFrame:
         v, p = F.col("value"), F.col("prev")
-        if m.phase:
-            raise QueryError(f"{name} over a subquery needs a step that is a multiple of its resolution")
         reset = v if self.options.reset == "new" else p + v
         gain = {
             "rate": F.when(v < p, reset).otherwise(v - p),
@@ -282,12 +285,12 @@ class Compiler:
         both = F.least(steps_from(F.col("prev_ts"), m.offset_ms + m.range_ms + 1, g) - 1, F.lit(g.n - 1))
         rows = rows.withColumn("lo", lo).withColumn("hi", hi).withColumn("pair_hi", F.when(F.col("prev_ts").isNull(), -1).otherwise(both)).where("lo <= hi")
         if name in ("irate", "idelta"):
-            rows = rows.select("lkey", F.explode(F.sequence("lo", "hi")).alias("k"), "ts_ms", "gain", "prev_ts", "pair_hi")
-            last = rows.groupBy("lkey", "k").agg(F.max_by(F.struct("gain", "prev_ts", "ts_ms", "pair_hi"), "ts_ms").alias("x")).where("x.pair_hi >= k")
+            rows = rows.select("lkey", F.explode(F.sequence("lo", "hi")).alias("k"), "ts_ms", "gain", "prev_ts", "pair_hi", "res")
+            last = self.in_phase(m, g, rows).groupBy("lkey", "k").agg(F.max_by(F.struct("gain", "prev_ts", "ts_ms", "pair_hi"), "ts_ms").alias("x")).where("x.pair_hi >= k")
             value = F.col("x.gain") if name == "idelta" else F.col("x.gain") / ((F.col("x.ts_ms") - F.col("x.prev_ts")) / 1000.0)
             return last.select("lkey", "k", value.alias("value"))
-        same = rows.groupBy("lkey", "b", "lo", "hi", "pair_hi").agg(F.sum("gain").alias("gain"), F.min("ts_ms").alias("a"), F.max("ts_ms").alias("z"), F.count(F.lit(1)).alias("n"))
-        sent = same.select("lkey", F.explode(F.sequence("lo", "hi")).alias("k"), "gain", "pair_hi", "a", "z", "n")
+        same = rows.groupBy("lkey", "b", "res", "lo", "hi", "pair_hi").agg(F.sum("gain").alias("gain"), F.min("ts_ms").alias("a"), F.max("ts_ms").alias("z"), F.count(F.lit(1)).alias("n"))
+        sent = self.in_phase(m, g, same.select("lkey", F.explode(F.sequence("lo", "hi")).alias("k"), "gain", "pair_hi", "a", "z", "n", "res"))
         w = sent.groupBy("lkey", "k").agg(F.sum(F.when(F.col("pair_hi") >= F.col("k"), F.col("gain"))).alias("gain"), F.min("a").alias("a"), F.max("z").alias("z"), F.sum("n").alias("n"))
         total = F.coalesce("gain", F.lit(0.0))
         if name in ("changes", "resets"):
