@@ -20,8 +20,11 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructType
 
 from loomline.runtime import cut
 
@@ -142,7 +145,7 @@ class Profile:
         self.fields: dict[str, dict] = {}
 
     def field(self, name: str) -> dict:
-        return self.fields.setdefault(name, {"types": {}, "by": {}, "inner": {}})
+        return self.fields.setdefault(name, {"types": {}, "forms": {}, "by": {}, "inner": {}})
 
     def add(self, o: dict) -> None:
         sid = series_of(o)
@@ -152,6 +155,8 @@ class Profile:
             f = self.field(k)
             kind = kind_of(v)
             f["types"][kind] = f["types"].get(kind, 0) + 1
+            form = form_of(v)
+            f["forms"][form] = f["forms"].get(form, 0) + 1
             pairs = pairs_of(v)
             self.note(f, sid, (zlib.crc32(content(v, pairs).encode()),))
             for name, _ in pairs or ():
@@ -171,7 +176,7 @@ class Profile:
     def merge(self, other: dict[str, dict]) -> None:
         for k, g in other.items():
             f = self.field(k)
-            for part in ("types", "inner"):
+            for part in ("types", "forms", "inner"):
                 for name, n in g[part].items():
                     f[part][name] = f[part].get(name, 0) + n
             for sid, contents in g["by"].items():
@@ -331,16 +336,20 @@ def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=names)
 
 
-def schema_changes(blocks: DataFrame) -> DataFrame:
+def file_profiles(blocks: DataFrame) -> DataFrame:
+    """One profile per file; every task makes partial ones of the files it sees, which are added up by file."""
+    partial = blocks.where(F.col("file_id").isNotNull()).select("file_id", "payload").mapInPandas(partial_profiles, PROFILE)
+    return cut(partial.repartition("file_id").sortWithinPartitions("file_id").mapInPandas(whole_profiles, PROFILE))
+
+
+def schema_changes(blocks: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     """Every change of fields from one file of a writer to the next.
 
-    Every task makes partial profiles of the files it sees; these are added up by file. Files are put
-    in order by thin rows in a window over their writer, and the profiles of two successive files are
-    joined, so no task ever holds the records of a file or a whole writer.
+    Files are put in order by thin rows in a window over their writer, and the profiles of two successive
+    files are joined, so no task ever holds the records of a file or a whole writer.
     """
     rows = blocks.where(F.col("file_id").isNotNull())
-    partial = rows.select("file_id", "payload").mapInPandas(partial_profiles, PROFILE)
-    profiles = cut(partial.repartition("file_id").sortWithinPartitions("file_id").mapInPandas(whole_profiles, PROFILE))
+    profiles = file_profiles(blocks) if profiles is None else profiles
     order = Window.partitionBy("writer").orderBy("written_at", "file_id")
     files = rows.groupBy("file_id").agg(F.min("writer").alias("writer"), F.min("written_at").alias("written_at"))
     pairs = files.withColumn("before", F.lag("file_id").over(order)).where("before is not null").select("file_id", "before")
@@ -350,8 +359,10 @@ def schema_changes(blocks: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------------------------------------- one table
 
-TABLE = "file_id bigint, row_no int, timestamp bigint, value double, series_id bigint, labels_crc32 bigint, tags string, crc_ok boolean, extra string"
+TABLE = "file_id bigint, row_no int, timestamp bigint, value double, series_id bigint, labels_crc32 bigint, tags string, crc_ok boolean"
 CORE_FIELDS = ("timestamp", "value", "series_id", "labels_crc32", "tags")
+#: Types of the table's columns by the type that a field is cast to; pairs and nested values are JSON text.
+COLUMN = {"boolean": BooleanType(), "integer": LongType(), "fraction": DoubleType(), "string": StringType(), "pairs": StringType(), "nested": StringType()}
 
 
 def canonical_names(changes: DataFrame, limit: int = 100_000) -> dict[str, str]:
@@ -386,49 +397,206 @@ def time_ms(v: object) -> int | None:
     if isinstance(v, bool) or v is None:
         return None
     if isinstance(v, (int, float)):
-        return int(v)
+        return int(v) if -(2**63) <= v < 2**63 else None
     s = str(v).strip()
     if re.fullmatch(r"-?\d+(\.\d+)?", s):
-        return int(float(s))
+        return time_ms(float(s))
     t = pd.to_datetime(s, utc=True, errors="coerce")
     return None if pd.isna(t) else int(t.value // 1_000_000)
 
 
-def number(v: object, whole: bool) -> float | int | None:
+def number(v: object) -> float | None:
+    """A double, rounded where it has to be."""
     try:
-        return None if v is None or isinstance(v, bool) else int(str(v).split(".")[0]) if whole else float(v)
-    except (TypeError, ValueError):
+        return None if isinstance(v, bool) else float(v)
+    except (TypeError, ValueError, OverflowError):
+        return None
+
+
+def whole(v: object) -> int | None:
+    """The 64-bit whole number that a number or text (also ``0x...``) is, if it is one."""
+    if isinstance(v, str):
+        s = v.strip()
+        try:
+            v = int(s, 16) if re.fullmatch(r"0[xX][0-9a-fA-F]+", s) else int(s)
+        except ValueError:
+            v = fraction(s)
+    if isinstance(v, bool) or not isinstance(v, (int, float)) or isinstance(v, float) and not v.is_integer():
+        return None
+    v = int(v)
+    return v if -(2**63) <= v < 2**63 else None
+
+
+def fraction(v: object) -> float | None:
+    """The double that a number or text is; whole numbers that no double holds are None."""
+    if isinstance(v, bool) or not isinstance(v, (int, float, str)):
         return None
+    try:
+        x = float(v)
+    except (ValueError, OverflowError):
+        return None
+    if isinstance(v, str) and re.fullmatch(r"\s*[+-]?\d+\s*", v):
+        v = int(v)
+    return None if isinstance(v, int) and int(x) != v else x
+
+
+def truth(v: object) -> bool | None:
+    return v if isinstance(v, bool) else {"true": True, "false": False}.get(v.strip().lower()) if isinstance(v, str) else None
+
+
+def as_text(v: object) -> str:
+    """One text for a value: whole numbers without fraction, true and false in lower case, the rest as JSON with sorted names."""
+    if isinstance(v, str):
+        return v
+    return json.dumps(int(v) if isinstance(v, float) and v.is_integer() else v, sort_keys=True)
+
+
+def paired(v: object) -> str | None:
+    """Label pairs in any spelling as a JSON object of texts; None if that would lose something."""
+    flat = v.values() if isinstance(v, dict) else [y for x in v for y in (x.values() if isinstance(x, dict) else x if isinstance(x, list) else ())] if isinstance(v, list) else ()
+    if any(isinstance(x, (dict, list)) for x in flat):
+        return None
+    pairs = sorted((k, as_text(x)) for k, x in v.items() if x is not None) if isinstance(v, dict) else pairs_of(v)
+    return None if pairs is None or len({k for k, _ in pairs}) < len(pairs) else json.dumps(dict(pairs))
+
 
+def nested(v: object) -> str | None:
+    if isinstance(v, str) and v.lstrip()[:1] in ("{", "["):
+        try:
+            v = json.loads(v)
+        except ValueError:
+            return None
+    return json.dumps(v, sort_keys=True) if isinstance(v, (dict, list)) else None
+
+
+CAST = {"boolean": truth, "integer": whole, "fraction": fraction, "string": as_text, "pairs": paired, "nested": nested}
+
+
+def form_of(v: object) -> str:
+    """What a value can be cast to, finer than its JSON type; texts begin with ``text``."""
+    if isinstance(v, bool):
+        return "boolean"
+    if isinstance(v, (int, float)):
+        w = whole(v)
+        return ("integer" if abs(w) <= 2**53 else "big") if w is not None else "fraction" if isinstance(v, float) else "huge"
+    if isinstance(v, str):
+        head = v.lstrip()[:1]
+        if head in NUMERIC and head:
+            w = whole(v)
+            if w is not None:
+                return "text integer" if abs(w) <= 2**53 else "text big"
+            if fraction(v) is not None:
+                return "text fraction"
+        if truth(v) is not None:
+            return "text boolean"
+        return "text pairs" if paired(v) is not None else "text nested" if nested(v) is not None else "text"
+    return "pairs" if paired(v) is not None else "nested"
+
+
+def target_type(forms: dict[str, int]) -> str:
+    """The type to cast a field to: that of most values, texts counting as what they spell.
+
+    Texts that spell numbers stay texts where the field has no value of such a type; where less than half
+    of the values can be cast to any other type, everything becomes text, which any value can.
+    """
+    t = Counter(forms)
+
+    def both(*kinds: str) -> int:
+        return sum(t[k] + t[f"text {k}"] for k in kinds)
+
+    able = {}
+    if t["boolean"]:
+        able["boolean"] = both("boolean")
+    if t["integer"] or t["big"] or t["fraction"]:
+        # a double doesn't hold every whole number beyond 2**53
+        kind = "fraction" if both("fraction") > both("big") else "integer"
+        able[kind] = both("integer", "fraction" if kind == "fraction" else "big")
+    if t["pairs"] or t["nested"]:
+        able["pairs"] = both("pairs")
+        able["nested"] = t["pairs"] + both("nested")
+        del able["nested" if able["pairs"] >= able["nested"] else "pairs"]
+    best = max(sorted(able), key=lambda k: able[k], default="string")
+    return best if best != "string" and 2 * able[best] >= sum(t.values()) else "string"
+
+
+def tallied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How often each field has each form, of whole profiles."""
+    for b in batches:
+        n: Counter = Counter()
+        for p in b["profile"]:
+            for name, f in json.loads(p).items():
+                for form, k in f["forms"].items():
+                    n[name, form] += k
+        yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["field", "form", "n"])
 
-def united(names: dict[str, str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def target_types(profiles: DataFrame, names: dict[str, str], limit: int = 100_000) -> dict[str, str]:
+    """Canonical field beside the core ones -> type to cast it to, over all files. The vocabulary is bounded by ``limit``."""
+    rows = profiles.select("profile").mapInPandas(tallied, "field string, form string, n bigint").groupBy("field", "form").agg(F.sum("n").alias("n")).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} forms of fields")
+    forms: dict[str, Counter] = defaultdict(Counter)
+    for r in rows:
+        forms[names.get(r.field, r.field)][r.form] += r.n
+    return {k: target_type(forms[k]) for k in sorted(forms) if k not in CORE_FIELDS}
+
+
+def columns_of(fields: Iterable[str]) -> dict[str, str]:
+    """Field -> column. Columns differ in more than case: of fields that don't, and of those named as a fixed column, the later get a number."""
+    taken = {c.split()[0].lower() for c in TABLE.split(", ")} | {"extra"}
+    out = {}
+    for f in sorted(fields):
+        c, n = f or "_", 1
+        while c.lower() in taken:
+            n += 1
+            c = f"{f}_{n}"
+        taken.add(c.lower())
+        out[f] = c
+    return out
+
+
+def united(names: dict[str, str], targets: dict[str, str], schema: pa.Schema):
+    cast = [(k, CAST[t]) for k, t in targets.items()]
+
+    def tags_text(v: object) -> str | None:
+        pairs = pairs_of(v)
+        return None if pairs is None else ",".join(f"{k}={x}" for k, x in pairs)
+
+    core = [("timestamp", time_ms), ("value", number), ("series_id", whole), ("labels_crc32", whole), ("tags", tags_text)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for f, r, p in zip(b["file_id"], b["row_no"], b["payload"]):
+            out: list[list] = [[] for _ in schema]
+            for f, r, p in zip(*(b.column(k).to_pylist() for k in ("file_id", "row_no", "payload"))):
                 o = readable(p)
                 if o is None:
                     continue
                 o = {names.get(k, k): v for k, v in o.items() if v is not None}
-                crc, tags = number(o.get("labels_crc32"), True), pairs_of(o.get("tags"))
-                if crc is None and isinstance(o.get("labels_crc32"), str) and o["labels_crc32"].lower().startswith("0x"):
-                    crc = int(o["labels_crc32"], 16)
-                crc = None if crc is None else crc % 2**32
-                ok = None if crc is None or tags is None else crc == crc_of(tags)
-                extra = json.dumps({k: v for k, v in sorted(o.items()) if k not in CORE_FIELDS}, sort_keys=True)
-                out.append((f, r, time_ms(o.get("timestamp")), number(o.get("value"), False), number(o.get("series_id"), True), crc, None if tags is None else ",".join(f"{k}={v}" for k, v in tags), ok, extra))
-            df = pd.DataFrame(out, columns=["file_id", "row_no", "timestamp", "value", "series_id", "labels_crc32", "tags", "crc_ok", "extra"])
-            for k in ("timestamp", "series_id", "labels_crc32"):
-                df[k] = df[k].astype("Int64")
-            df["crc_ok"] = df["crc_ok"].astype("boolean")
-            yield df
+                got = {k: c(o[k]) for k, c in (*core, *cast) if k in o}
+                crc, pairs = got.get("labels_crc32"), pairs_of(o.get("tags"))
+                if crc is not None:
+                    got["labels_crc32"] = crc = crc % 2**32
+                ok = None if crc is None or pairs is None else crc == crc_of(pairs)
+                extra = json.dumps({k: v for k, v in o.items() if got.get(k) is None}, sort_keys=True)
+                for column, v in zip(out, (f, r, *(got.get(k) for k, _ in core), ok, *(got.get(k) for k, _ in cast), extra)):
+                    column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, schema.types)], schema=schema)
 
     return run
 
 
-def one_table(blocks: DataFrame, changes: DataFrame) -> DataFrame:
-    """All readable records once, fields under their first names, tags sorted ``k=v`` and checksums unsigned."""
+def one_table(blocks: DataFrame, changes: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+    """All readable records once, fields under their first names, tags sorted ``k=v`` and checksums unsigned.
+
+    Every further field is a column of its one type; ``extra`` holds, as JSON, only the values that can't be
+    cast to their field's type. The columns depend on the data, so the profiles are read for them at once.
+    """
     names = canonical_names(changes)
+    targets = target_types(file_profiles(blocks) if profiles is None else profiles, names)
+    schema = StructType.fromDDL(TABLE)
+    for field, column in columns_of(targets).items():
+        schema = schema.add(column, COLUMN[targets[field]])
+    schema = schema.add("extra", StringType())
     rows = blocks.where(F.col("file_id").isNotNull() & F.col("row_no").isNotNull() & F.col("payload").isNotNull())
     once = rows.groupBy("file_id", "row_no").agg(F.max_by("payload", F.struct(F.length("payload"), "payload")).alias("payload"))
-    return once.mapInPandas(united(names), TABLE)
+    return once.mapInArrow(united(names, targets, to_arrow_schema(schema)), schema)

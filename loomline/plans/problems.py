@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.operators.drift import one_table, schema_changes
+from loomline.operators.drift import file_profiles, one_table, schema_changes
 from loomline.operators.grid import regular_grid
 from loomline.operators.spikes import flag_readings
 from loomline.runtime import cut
@@ -27,7 +27,8 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 def p3_table(spark: SparkSession, sf: str) -> DataFrame:
     """All readable records in one table, under the names found by the matching."""
     blocks = table(spark, sf, "raw_blocks")
-    return one_table(blocks, cut(schema_changes(blocks)))
+    profiles = file_profiles(blocks)
+    return one_table(blocks, cut(schema_changes(blocks, profiles)), profiles)
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:

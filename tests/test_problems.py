@@ -228,6 +228,25 @@ def test_unreadable_null_and_empty(spark):
     assert drift.one_table(df.unionByName(df).selectExpr("*", "1 as profile"), drift.schema_changes(df)).count() == 6 + 7 + 6 + 1
 
 
+def test_every_field_is_cast_to_one_type(spark):
+    big = 2**60 + 1
+    a = [record(i, shard=i, weight=i + 0.5, sampled=i % 2 == 0, note="x", dims={"a": i}, Shard=True) for i in range(20)]
+    b = [record(i, shard=str(i), weight=f"{i}.5", sampled="True", note=7, dims=f"a={i}", extra=big) for i in range(10)]
+    b += [record(10, shard="n/a", weight=2, sampled=None, note=None, series_id="none", timestamp="never")]
+    df = blocks(spark, [(1, "w", 0, a), (2, "w", 1, b)])
+    got = drift.one_table(df, drift.schema_changes(df))
+    assert {k: t for k, t in got.dtypes if k in ("shard", "Shard_2", "Shard", "shard_2", "weight", "sampled", "note", "dims", "extra_2", "extra")} == {"Shard": "boolean", "shard_2": "bigint", "weight": "double", "sampled": "boolean", "note": "string", "dims": "string", "extra_2": "bigint", "extra": "string"}
+    rows = {(r.file_id, r.row_no): r for r in got.collect()}
+    assert len(rows) == 31
+    for i in range(10):
+        for f in (1, 2):
+            r = rows[f, i]
+            assert (r.shard_2, r.weight, r.dims, r.extra, r.series_id) == (i, i + 0.5, json.dumps({"a": str(i)}), "{}", 2**60 + i % 5)
+        assert rows[2, i].sampled is True and rows[2, i].note == "7" and rows[2, i].extra_2 == big
+    last = rows[2, 10]
+    assert last.shard_2 is None and last.weight == 2.0 and json.loads(last.extra) == {"shard": "n/a", "series_id": "none", "timestamp": "never"}
+
+
 @pytest.mark.parametrize("v", ["pod=a,__name__=m", {"pod": "a", "__name__": "m", "x": None}, [{"key": "pod", "value": "a"}, {"key": "__name__", "value": "m"}, {"key": "x", "value": None}], ["__name__=m", "pod=a"], [["pod", "a"], ["__name__", "m"]], [{"pod": "a"}, {"__name__": "m"}]])
 def test_tag_spellings(v):
     assert drift.pairs_of(v) == [("__name__", "m"), ("pod", "a")]
