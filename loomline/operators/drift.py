@@ -13,6 +13,7 @@ non-null. Files of a null writer form one writer. Empty tables give empty result
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import zlib
@@ -26,18 +27,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructType
 
-from loomline.runtime import cut
+from loomline.runtime import cut, join_small
 
 CHANGES = "file_id bigint, change string, field_name string, old_name string, old_type string, new_type string, similarity double"
-PROFILE = "file_id bigint, profile string"
+PROFILE = "file_id bigint, profile string, fields array<string>"
+CONTENT = "file_id bigint, field string, series bigint, content bigint"
 
 #: Weight of a node's start similarity against what flows in, and when the flow has settled.
 ROUNDS, SETTLED = 60, 1e-4
 #: Share of series on which two fields must agree in content to be one field, and least such series.
 AGREE, SHARED = 0.6, 2
-#: Distinct contents a profile keeps per field and series (enough to see a constant), and series it keeps contents of.
-CONTENTS, SERIES = 8, 4096
-#: Records a task takes in before it hands on its partial profiles.
+#: Records a task takes in before it hands on its partial profiles or contents.
 HELD_RECORDS = 20_000
 #: How a number in a string may begin.
 NUMERIC = set("0123456789+-.")
@@ -135,20 +135,15 @@ def series_of(o: dict) -> str:
 
 
 class Profile:
-    """What a file holds, per field: types, contents by series, nested names. Profiles of parts of a file add up.
-
-    Contents are kept for the SERIES series of the smallest hashes, the same ones in every file; types
-    and presence count every record.
-    """
+    """What a file holds, per field: types, forms, nested names. Profiles of parts of a file add up."""
 
     def __init__(self) -> None:
         self.fields: dict[str, dict] = {}
 
     def field(self, name: str) -> dict:
-        return self.fields.setdefault(name, {"types": {}, "forms": {}, "by": {}, "inner": {}})
+        return self.fields.setdefault(name, {"types": {}, "forms": {}, "inner": {}})
 
     def add(self, o: dict) -> None:
-        sid = series_of(o)
         for k, v in o.items():
             if v is None:
                 continue
@@ -157,30 +152,15 @@ class Profile:
             f["types"][kind] = f["types"].get(kind, 0) + 1
             form = form_of(v)
             f["forms"][form] = f["forms"].get(form, 0) + 1
-            pairs = pairs_of(v)
-            self.note(f, sid, (zlib.crc32(content(v, pairs).encode()),))
-            for name, _ in pairs or ():
+            for name, _ in pairs_of(v) or ():
                 f["inner"][name] = f["inner"].get(name, 0) + 1
 
-    def note(self, f: dict, sid: str, contents: Iterable[int]) -> None:
-        seen = f["by"].setdefault(sid, [])
-        new = [c for c in contents if c not in seen]
-        if not new:
-            return
-        # the smallest contents, so that the order of records and parts makes no difference
-        seen[:] = sorted([*seen, *new])[:CONTENTS]
-        if len(f["by"]) > 2 * SERIES:
-            kept = sorted(f["by"], key=lambda s: (zlib.crc32(s.encode()), s))[:SERIES]
-            f["by"] = {s: f["by"][s] for s in kept}
-
     def merge(self, other: dict[str, dict]) -> None:
         for k, g in other.items():
             f = self.field(k)
             for part in ("types", "forms", "inner"):
                 for name, n in g[part].items():
                     f[part][name] = f[part].get(name, 0) + n
-            for sid, contents in g["by"].items():
-                self.note(f, sid, contents)
 
 
 def main_type(types: dict[str, int]) -> str:
@@ -205,14 +185,17 @@ def name_similarity(a: str, b: str) -> float:
     return 2 * sum((x & y).values()) / max(1, sum(x.values()) + sum(y.values()))
 
 
-def agreement(a: dict, b: dict) -> tuple[float, int, int]:
+#: (old field, new field) -> common series, those whose contents meet, distinct contents that met.
+Agreement = dict[tuple[str, str], tuple[int, int, int]]
+
+
+def agreement(counts: Agreement, a: str, b: str) -> tuple[float, int, int]:
     """Share of common series whose contents meet, their number, and the distinct contents that met."""
-    common = [s for s in a["by"] if s in b["by"]]
-    met = [set(a["by"][s]) & set(b["by"][s]) for s in common]
-    return sum(map(bool, met)) / max(1, len(common)), len(common), len(set().union(*met) if met else set())
+    common, met, distinct = counts.get((a, b), (0, 0, 0))
+    return met / max(1, common), common, distinct
 
 
-def flood(old: dict[str, dict], new: dict[str, dict]) -> dict[tuple[str, str], float]:
+def flood(old: dict[str, dict], new: dict[str, dict], counts: Agreement) -> dict[tuple[str, str], float]:
     """Settled similarity of every pair of fields of two files."""
     def graph(fields: dict[str, dict]) -> list[tuple[tuple, str, tuple]]:
         edges = []
@@ -225,9 +208,9 @@ def flood(old: dict[str, dict], new: dict[str, dict]) -> dict[tuple[str, str], f
         return edges
 
     start: dict[tuple, float] = {}
-    for a, fa in old.items():
-        for b, fb in new.items():
-            share, n, distinct = agreement(fa, fb)
+    for a in old:
+        for b in new:
+            share, n, distinct = agreement(counts, a, b)
             same = share if n >= SHARED and distinct >= 2 else share * 0.5 if n else 0.0
             start[("field", a), ("field", b)] = 1.0 if a == b else 0.15 * name_similarity(a, b) + 0.85 * same
     by_label: dict[tuple[str, str, str], list] = defaultdict(list)
@@ -253,14 +236,14 @@ def flood(old: dict[str, dict], new: dict[str, dict]) -> dict[tuple[str, str], f
     return {(a[1], b[1]): v for (a, b), v in sim.items() if a[0] == "field"}
 
 
-def correspond(old: dict[str, dict], new: dict[str, dict]) -> dict[str, tuple[str, float]]:
+def correspond(old: dict[str, dict], new: dict[str, dict], counts: Agreement) -> dict[str, tuple[str, float]]:
     """New field -> (old field, similarity), one to one. Equal names stay; others must share their contents."""
     gone, come = set(old) - set(new), set(new) - set(old)
-    sim = flood(old, new) if gone and come else {}  # with nothing gone or nothing come, names alone decide
+    sim = flood(old, new, counts) if gone and come else {}  # with nothing gone or nothing come, names alone decide
     found = {k: (k, sim.get((k, k), 1.0)) for k in new if k in old}
     for (a, b), s in sorted(sim.items(), key=lambda kv: (-kv[1], kv[0])):
         if a in gone and b in come:
-            share, n, distinct = agreement(old[a], new[b])
+            share, n, distinct = agreement(counts, a, b)
             steady = n >= SHARED and share >= AGREE and distinct >= 2
             alike = name_similarity(a, b) >= 0.45 and main_type(old[a]["types"]) == main_type(new[b]["types"]) and (n < SHARED and share >= AGREE or n == 0)
             if steady or alike:
@@ -270,9 +253,9 @@ def correspond(old: dict[str, dict], new: dict[str, dict]) -> dict[str, tuple[st
     return found
 
 
-def compare(file_id: int, old: dict[str, dict], new: dict[str, dict]) -> list[tuple]:
+def compare(file_id: int, old: dict[str, dict], new: dict[str, dict], counts: Agreement) -> list[tuple]:
     out = []
-    found = correspond(old, new)
+    found = correspond(old, new, counts)
     for b in sorted(new):
         nt = main_type(new[b]["types"])
         if b not in found:
@@ -289,13 +272,17 @@ def compare(file_id: int, old: dict[str, dict], new: dict[str, dict]) -> list[tu
     return out
 
 
+def profile_row(file_id: int, p: Profile) -> tuple:
+    return file_id, json.dumps(p.fields), sorted(p.fields)
+
+
 def partial_profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Profiles of what a task sees of each file; nothing but profiles is ever shuffled."""
     held: dict[int, Profile] = {}
     n = 0
 
     def emit() -> pd.DataFrame:
-        return pd.DataFrame({"file_id": list(held), "profile": [json.dumps(p.fields) for p in held.values()]})
+        return pd.DataFrame([profile_row(f, p) for f, p in held.items()], columns=["file_id", "profile", "fields"])
 
     for b in batches:
         for f, payload in zip(b["file_id"], b["payload"]):
@@ -321,18 +308,72 @@ def whole_profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f, part in zip(b["file_id"], b["profile"]):
             if f != at:
                 if at is not None:
-                    out.append((at, json.dumps(p.fields)))
+                    out.append(profile_row(at, p))
                 at, p = f, Profile()
             p.merge(json.loads(part))
-        yield pd.DataFrame(out, columns=["file_id", "profile"])
+        yield pd.DataFrame(out, columns=["file_id", "profile", "fields"])
     if at is not None:
-        yield pd.DataFrame([(at, json.dumps(p.fields))], columns=["file_id", "profile"])
+        yield pd.DataFrame([profile_row(at, p)], columns=["file_id", "profile", "fields"])
+
+
+def hash64(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct contents of each file, field and series, as far as one task sees them at once."""
+    schema = pa.schema([("file_id", pa.int64()), ("field", pa.string()), ("series", pa.int64()), ("content", pa.int64())])
+    held: dict[tuple, None] = {}
+    n = 0
+
+    def emit() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), schema.types)], schema=schema)
+
+    for b in batches:
+        for f, payload in zip(b.column("file_id").to_pylist(), b.column("payload").to_pylist()):
+            o = readable(payload)
+            if o is None:
+                continue
+            sid = hash64(series_of(o))
+            for k, v in o.items():
+                if v is not None:
+                    held[f, k, sid, hash64(content(v, pairs_of(v)))] = None
+            n += 1
+        if n >= HELD_RECORDS and held:
+            yield emit()
+            held, n = {}, 0
+    if held:
+        yield emit()
+
+
+def agreements(blocks: DataFrame, moved: DataFrame) -> DataFrame:
+    """Exact agreement of the fields of successive files ``moved`` (file_id, before): file_id and JSON list of [a, b, common, met, distinct].
+
+    Of each two fields with different names: series that hold both, those in which a content of the one
+    is a content of the other, and how many contents that is. Only these counts, one per two fields, come
+    together by file.
+    """
+    wanted = moved.select("file_id").union(moved.select("before")).distinct()
+    held = cut(join_small(blocks.select("file_id", "payload"), wanted, "file_id").mapInArrow(contents, CONTENT).distinct())
+    old = join_small(held, moved.select(F.col("before").alias("file_id"), F.col("file_id").alias("pair")), "file_id").select("pair", "series", "content", F.col("field").alias("a"))
+    new = join_small(held, moved.select("file_id"), "file_id").select(F.col("file_id").alias("pair"), "series", "content", F.col("field").alias("b"))
+    both = ["pair", "a", "b"]
+    met = old.join(new, ["pair", "series", "content"]).where("a <> b").groupBy(both).agg(F.count_distinct("series").alias("met"), F.count_distinct("content").alias("distinct"))
+    # series with the same fields are counted before their fields are paired
+    fields = [x.groupBy("pair", "series").agg(F.sort_array(F.collect_set(k)).alias(k)) for x, k in ((old, "a"), (new, "b"))]
+    common = fields[0].join(fields[1], ["pair", "series"]).groupBy(both).agg(F.count(F.lit(1)).alias("n"))
+    common = common.withColumn("a", F.explode("a")).withColumn("b", F.explode("b")).where("a <> b").groupBy(both).agg(F.sum("n").alias("common"))
+    counts = common.join(met, both, "left").na.fill(0, ["met", "distinct"])
+    return counts.groupBy(F.col("pair").alias("file_id")).agg(F.to_json(F.collect_list(F.struct("a", "b", "common", "met", "distinct"))).alias("counts"))
 
 
 def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = ["file_id", "change", "field_name", "old_name", "old_type", "new_type", "similarity"]
     for b in batches:
-        rows = [r for f, o, n in zip(b["file_id"], b["old"], b["new"]) for r in compare(f, json.loads(o), json.loads(n))]
+        rows = []
+        for f, o, n, c in zip(b["file_id"], b["old"], b["new"], b["counts"]):
+            counts = {(x["a"], x["b"]): (x["common"], x["met"], x["distinct"]) for x in json.loads(c)} if c else {}
+            rows += compare(f, json.loads(o), json.loads(n), counts)
         yield pd.DataFrame(rows, columns=names)
 
 
@@ -346,15 +387,21 @@ def schema_changes(blocks: DataFrame, profiles: DataFrame | None = None) -> Data
     """Every change of fields from one file of a writer to the next.
 
     Files are put in order by thin rows in a window over their writer, and the profiles of two successive
-    files are joined, so no task ever holds the records of a file or a whole writer.
+    files are joined, so no task ever holds the records of a file or a whole writer. Contents of two files
+    that have both a field gone and a field come are compared by joins over all their records.
     """
     rows = blocks.where(F.col("file_id").isNotNull())
     profiles = file_profiles(blocks) if profiles is None else profiles
     order = Window.partitionBy("writer").orderBy("written_at", "file_id")
     files = rows.groupBy("file_id").agg(F.min("writer").alias("writer"), F.min("written_at").alias("written_at"))
     pairs = files.withColumn("before", F.lag("file_id").over(order)).where("before is not null").select("file_id", "before")
-    both = pairs.join(profiles.withColumnRenamed("profile", "new"), "file_id").join(profiles.select(F.col("file_id").alias("before"), F.col("profile").alias("old")), "before")
-    return both.select("file_id", "old", "new").mapInPandas(compared, CHANGES)
+    new = profiles.select("file_id", F.col("profile").alias("new"), F.col("fields").alias("come"))
+    old = profiles.select(F.col("file_id").alias("before"), F.col("profile").alias("old"), F.col("fields").alias("gone"))
+    both = cut(pairs.join(new, "file_id").join(old, "before"))
+    # contents matter only where a field went and another came
+    moved = both.where((F.size(F.array_except("gone", "come")) > 0) & (F.size(F.array_except("come", "gone")) > 0)).select("file_id", "before")
+    both = both.join(agreements(rows, moved), "file_id", "left")
+    return both.select("file_id", "old", "new", "counts").mapInPandas(compared, CHANGES)
 
 
 # ---------------------------------------------------------------------------------------------- one table

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import math
+import zlib
 
 import numpy as np
 import pytest
@@ -228,6 +229,16 @@ def test_unreadable_null_and_empty(spark):
     assert drift.one_table(df.unionByName(df).selectExpr("*", "1 as profile"), drift.schema_changes(df)).count() == 6 + 7 + 6 + 1
 
 
+def test_renaming_is_found_in_a_few_series_of_a_large_file(spark):
+    by_hash = sorted(range(10_000), key=lambda i: -zlib.crc32(str(2**60 + i).encode()))
+    few = by_hash[:4]
+    paths = [[f"/{i}/{k}" for k in range(12)] for i in range(4)]
+    a = [record(0, series_id=2**60 + s, owner=f"crew-{i}", path=p) for i, s in enumerate(few) for p in paths[i]]
+    a += [record(0, series_id=2**60 + s, owner=f"crew-{s % 50}", path="/") for s in by_hash[4:]]
+    b = [record(0, series_id=2**60 + s, team=f"crew-{i}", route=max(paths[i], key=lambda p: zlib.crc32(drift.content(p).encode()))) for i, s in enumerate(few)]
+    assert changes(blocks(spark, [(1, "w", 0, a), (2, "w", 1, b)])) == {(2, "renamed", "team", "owner"), (2, "renamed", "route", "path")}
+
+
 def test_every_field_is_cast_to_one_type(spark):
     big = 2**60 + 1
     a = [record(i, shard=i, weight=i + 0.5, sampled=i % 2 == 0, note="x", dims={"a": i}, Shard=True) for i in range(20)]
