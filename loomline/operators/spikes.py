@@ -7,18 +7,22 @@ and whether the unit allows it. Forward-backward probabilities, joined with hard
 Defined cases. Rows with null or NaN value are no readings; of several rows with one time the last
 ingested counts. Infinite readings are always flagged. A series without a metric in the catalogue has
 no bounds and is treated as no gauge. An empty table gives an empty result. Blocks with fewer than
-``MIN_READINGS`` finite readings have no known normal behaviour; only hard bounds apply to them.
+``MIN_READINGS`` finite readings have no known normal scatter; no reading of them is a spike. Whether a
+source holds values for long is known from the runs of equal readings of its whole series.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.operators.chunks import over_blocks, to_blocks, window_matrix, windows
-from loomline.runtime import join_small
+from loomline.runtime import cut, join_small
 from loomline.sources.tables import DEFAULT_INTERVAL_MS, series_dims, unit_bounds
 
 SCHEMA = "series_id bigint, ts_ms bigint, value double, flag string, p_spike double, p_stuck double"
@@ -34,6 +38,8 @@ FAR = 10.0
 STEP_WEIGHT = FAR / 6.0
 #: Readings of one value in a row that count as stuck.
 STUCK = 8
+#: Usual (median) length of runs of equal readings from which a source holds values; longer runs than RUNS tell no more.
+HOLDS, RUNS = 4, 8
 #: Share of far readings from which a source may switch between levels, and readings around that show a level.
 SWITCHING, AROUND = 0.04, 96
 #: Start and move probabilities of normal, spike, stuck, out of range.
@@ -47,22 +53,21 @@ def course(x: np.ndarray, half: int = HALF) -> np.ndarray:
     return np.median(sliding_window_view(np.pad(x, h, mode="reflect"), 2 * h + 1), axis=1)
 
 
-def distances(x: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Distance of each reading from the course in scatters; whether the source holds values for long.
+def distances(x: np.ndarray, held: bool) -> np.ndarray:
+    """Distance of each reading from the course in scatters. ``held``: the source holds values for long.
 
     Unless it does, a run of STUCK or more equal readings counts once, so that it can't pass for scatter.
     """
     lengths = np.diff(np.r_[-1, np.flatnonzero(x[1:] != x[:-1]), len(x) - 1])
-    held = bool(np.median(lengths) >= 4)
     if held or lengths.max() < STUCK:
-        return departures(x, held), held
+        return departures(x, held)
     first = np.cumsum(lengths) - lengths
     use = np.repeat(lengths < STUCK, lengths)
     use[first] = True
     z = np.zeros(len(x))
     if use.sum() >= MIN_READINGS:
         z[use] = departures(x[use], False)
-    return z, False
+    return z
 
 
 def departures(x: np.ndarray, held: bool) -> np.ndarray:
@@ -152,6 +157,63 @@ def equal_runs(x: np.ndarray, group: np.ndarray) -> np.ndarray:
     return np.repeat(np.diff(np.r_[at, len(x)]), np.diff(np.r_[at, len(x)]))
 
 
+RUN_COLUMNS = ["series_id", "block", "first", "n_first", "last", "n_last", "runs", *(f"n{i}" for i in range(1, RUNS + 1))]
+RUN_SCHEMA = ", ".join(f"{c} {'double' if c in ('first', 'last') else 'bigint'}" for c in RUN_COLUMNS)
+
+
+def make_run_kernel(lo: np.ndarray, hi: np.ndarray):
+    """Per block: value and length of the first and last run of equal readings, and how many runs have which length."""
+    def kernel(cols: dict[str, np.ndarray], starts: np.ndarray) -> dict[str, np.ndarray]:
+        group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        x, code = cols["value"], cols["code"]
+        ok = np.isfinite(x) & (x >= lo[code]) & (x <= hi[code])
+        x, group = x[ok], group[ok]
+        at = np.flatnonzero(np.r_[np.ones(min(len(x), 1), bool), (x[1:] != x[:-1]) | (group[1:] != group[:-1])])
+        lengths, of = np.diff(np.r_[at, len(x)]), group[at]
+        groups, first, runs = np.unique(of, return_index=True, return_counts=True)
+        last = first + runs - 1
+        rank = np.repeat(np.arange(len(groups)), runs)
+        hist = np.bincount(rank * RUNS + np.minimum(lengths, RUNS) - 1, minlength=len(groups) * RUNS).reshape(-1, RUNS)
+        row = starts[:-1][groups]
+        return dict(zip(RUN_COLUMNS, [cols["series_id"][row], cols["block"][row], x[at[first]], lengths[first], x[at[last]], lengths[last], runs, *hist.T.copy()]))
+
+    return kernel
+
+
+def holds(counts: np.ndarray) -> bool:
+    """Whether the median of run lengths, given how many runs have length 1, 2, ... RUNS or more, reaches HOLDS."""
+    n, upto = counts.sum(), np.cumsum(counts)
+    return bool(n) and np.searchsorted(upto, [(n - 1) // 2, n // 2], side="right").sum() + 2 >= 2 * HOLDS
+
+
+def holding(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Series that hold values, of blocks sorted by series and time; a run that goes over block borders is one."""
+    at, counts, value, length = None, np.zeros(RUNS, int), 0.0, 0
+    for b in batches:
+        out = []
+        for sid, _, first, n_first, last, n_last, runs, *hist in b[RUN_COLUMNS].itertuples(index=False, name=None):
+            if sid != at:
+                if length:
+                    counts[min(length, RUNS) - 1] += 1
+                    out += [at] if holds(counts) else []
+                at, counts, length = sid, np.zeros(RUNS, int), 0
+            counts += np.array(hist)
+            counts[min(n_first, RUNS) - 1] -= 1
+            if length and value != first:
+                counts[min(length, RUNS) - 1] += 1
+                length = 0
+            value, length = first, length + n_first
+            if runs > 1:
+                counts[min(length, RUNS) - 1] += 1
+                counts[min(n_last, RUNS) - 1] -= 1
+                value, length = last, n_last
+        yield pd.DataFrame({"series_id": np.array(out, np.int64)})
+    if length:
+        counts[min(length, RUNS) - 1] += 1
+        if holds(counts):
+            yield pd.DataFrame({"series_id": np.array([at], np.int64)})
+
+
 def make_kernel(gauge: np.ndarray, lo: np.ndarray, hi: np.ndarray, everything: bool):
     def kernel(cols: dict[str, np.ndarray], starts: np.ndarray) -> dict[str, np.ndarray]:
         group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
@@ -165,15 +227,14 @@ def make_kernel(gauge: np.ndarray, lo: np.ndarray, hi: np.ndarray, everything: b
         g = np.flatnonzero(gauge[code])
         if len(g):
             gx, gg, gb = x[g], group[g], barred[g]
-            z, base = np.zeros(len(g)), np.full(len(g), 0.02)
+            held = cols["held"][ok][g]
+            z, base = np.zeros(len(g)), np.where(held, 0.999, 0.02)
             edges = np.r_[0, np.flatnonzero(gg[1:] != gg[:-1]) + 1, len(g)]
             for a, b in zip(edges[:-1], edges[1:]):
                 use = np.flatnonzero(~gb[a:b]) + a
                 if len(use) < MIN_READINGS:
                     continue
-                z[use], held = distances(gx[use])
-                if held:
-                    base[a:b] = 0.999
+                z[use] = distances(gx[use], bool(held[a]))
             run = equal_runs(gx, gg)
             p[g] = q = posteriors(z, run >= STUCK, base, gb, edges)
             flag[g] = np.where(gb, 3, np.where(q[:, 2] > 0.5, 2, np.where(q[:, 1] > 0.5, 1, 0)))
@@ -186,7 +247,8 @@ def make_kernel(gauge: np.ndarray, lo: np.ndarray, hi: np.ndarray, everything: b
 def flag_readings(samples: DataFrame, timeseries: DataFrame, catalog: DataFrame, everything: bool = False) -> DataFrame:
     """Flags of readings (``everything``: also of normal ones) as series_id, ts_ms, value, flag and probabilities.
 
-    One shuffle of the samples. The catalogue (one row per metric) is read to the driver, at most
+    Two shuffles of the samples, the first of gauges only: the usual run length of a series is that of all
+    its readings, so it is known before the series is cut into blocks with context. The catalogue (one row per metric) is read to the driver, at most
     100,000 rows of it are allowed; the series table is joined by a size-checked broadcast.
     """
     limits = unit_bounds(catalog).orderBy("metric").limit(100_001).collect()
@@ -196,10 +258,13 @@ def flag_readings(samples: DataFrame, timeseries: DataFrame, catalog: DataFrame,
     lo = np.array([-np.inf if r.lo is None else r.lo for r in limits] + [-np.inf])
     hi = np.array([np.inf if r.hi is None else r.hi for r in limits] + [np.inf])
     spark = samples.sparkSession
-    codes = spark.createDataFrame([(r.metric, i) for i, r in enumerate(limits)], "metric string, code int")
+    codes = spark.createDataFrame([(r.metric, i, r.mtype == "gauge") for i, r in enumerate(limits)], "metric string, code int, gauge boolean")
     dims = series_dims(timeseries).join(F.broadcast(codes), "metric", "left")
-    dims = dims.select("series_id", "code", "interval_ms")
+    dims = dims.select("series_id", "code", "gauge", "interval_ms")
     rows = join_small(samples.select("series_id", "ts_ms", "value", "ingested_at"), dims, "series_id", "left")
     interval = F.coalesce("interval_ms", F.lit(DEFAULT_INTERVAL_MS))
-    rows = rows.select("series_id", "ts_ms", "value", "ingested_at", F.coalesce("code", F.lit(len(limits))).alias("code"), (interval * BLOCK).alias("span"), (interval * CONTEXT).alias("context"))
-    return over_blocks(to_blocks(rows, "span", "context", ["code"]), make_kernel(gauge, lo, hi, everything), SCHEMA)
+    rows = rows.select("series_id", "ts_ms", "value", "ingested_at", F.coalesce("code", F.lit(len(limits))).alias("code"), "gauge", (interval * BLOCK).alias("span"), (interval * CONTEXT).alias("context"))
+    runs = over_blocks(to_blocks(rows.where("gauge").withColumn("context", F.col("context") * 0), "span", "context", ["code"]), make_run_kernel(lo, hi), RUN_SCHEMA)
+    held = cut(runs.repartition("series_id").sortWithinPartitions("series_id", "block").mapInPandas(holding, "series_id bigint"))
+    rows = join_small(rows, held.withColumn("held", F.lit(True)), "series_id", "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    return over_blocks(to_blocks(rows, "span", "context", ["code", "held"]), make_kernel(gauge, lo, hi, everything), SCHEMA)

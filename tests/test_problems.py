@@ -4,6 +4,7 @@ import math
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from loomline.operators import drift, spikes
@@ -119,6 +120,30 @@ def test_series_longer_than_a_block(spark, monkeypatch):
     assert set(got) == {(1, pts[i][0]) for i in [*hit, *range(380, 392)]}
 
 
+def test_stuck_for_whole_blocks(spark, monkeypatch):
+    monkeypatch.setattr(spikes, "BLOCK", 128)
+    monkeypatch.setattr(spikes, "CONTEXT", 32)
+    pts = noise(1000)
+    for i in range(150, 750):
+        pts[i] = (pts[i][0], 21.25)
+    held = [(T + i * 15_000, 30.0 + i // 20 % 7) for i in range(1000)]
+    assert flags(*tables(spark, {1: pts, 2: held})) == {(1, pts[i][0]): "stuck" for i in range(150, 750)}
+
+
+def test_run_lengths_of_blocks_add_up():
+    x = np.repeat(np.arange(60.0), np.random.default_rng(4).integers(1, 9, 60))
+    for size in (3, 7, 50, len(x)):
+        n = -(-len(x) // size)
+        starts = np.minimum(np.arange(n + 1) * size, len(x))
+        cols = {"series_id": np.full(len(x), 5), "block": np.arange(len(x)) // size, "value": x, "code": np.zeros(len(x), int)}
+        for shift in range(0, 60, 5):  # other medians
+            cols["value"] = np.where(np.arange(len(x)) < 4 * shift, np.arange(len(x)) + 0.5, x)
+            got = spikes.make_run_kernel(np.array([-np.inf]), np.array([np.inf]))(cols, starts)
+            lengths = np.diff(np.flatnonzero(np.r_[True, np.diff(cols["value"]) != 0, True]))
+            found = [s for b in spikes.holding(iter([pd.DataFrame(got)])) for s in b.series_id]
+            assert found == [5] * bool(np.median(lengths) >= 4)
+
+
 def test_forward_backward_is_exact():
     g = np.random.default_rng(0)
     z = np.abs(g.standard_normal(40)) * 9
