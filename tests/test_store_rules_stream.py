@@ -116,6 +116,21 @@ def test_stream(spark, tmp_path):
     assert spark.table("rolled").agg(F.sum("n")).first()[0] == 25
 
 
+def test_stream_rules_reach_back_and_keep_their_grid(spark, tmp_path):
+    src, out, hour = str(tmp_path / "src"), str(tmp_path / "out"), 3_600_000
+    schema = "metric string, lkey string, ts_ms bigint, value double"
+
+    def feed(hours):
+        spark.createDataFrame([("m", "", T + h * hour, 1.0) for h in hours], schema).coalesce(1).write.mode("append").parquet(src)
+        rule = RecordingRule("n", "sum(count_over_time(m[12h]))", interval_ms=hour)
+        live.ingest(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / "ck"), [rule]).awaitTermination(120)
+        return {(r.ts_ms - T) // hour: r.value for r in store.newest(store.read(spark, out)).where("metric = 'n'").collect()}
+
+    # a range is closed on the left
+    assert feed(range(20)) == {h: min(h + 1.0, 13.0) for h in range(20)}
+    assert feed(range(20, 24)) == {h: min(h + 1.0, 13.0) for h in range(24)}
+
+
 def test_label_strings(spark):
     one = spark.createDataFrame([("__name__\x02m\x01a\x021\x01b\x022",)], "k string")
     k = F.col("k")
