@@ -2,7 +2,7 @@
 
 A block spans a fixed number of nominal intervals of its source. Rows near a block's border are also
 sent to the neighbour as context (``home`` false). One shuffle by (series, block), one sort; Python
-sees complete blocks in a bounded stream of Arrow batches.
+sees blocks in a bounded stream of Arrow batches, an overfull block in overlapping slices.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DAY_MS = 86_400_000
+#: Rows a kernel gets at once, and rows that two slices of an overfull block share on either side of their border.
+ROWS, OVERLAP_ROWS = 150_000, 4096
 
 
 def to_blocks(samples: DataFrame, span: str, context: str, keep: list[str]) -> DataFrame:
@@ -37,50 +39,68 @@ def to_blocks(samples: DataFrame, span: str, context: str, keep: list[str]) -> D
     )
 
 
-def over_blocks(df: DataFrame, kernel: Callable[[dict[str, np.ndarray], np.ndarray], dict[str, np.ndarray]], schema: str, rows: int = 150_000) -> DataFrame:
-    """Run ``kernel(columns, starts)`` over complete (series_id, block) groups, about ``rows`` rows at a time.
+def over_blocks(df: DataFrame, kernel: Callable[[dict[str, np.ndarray], np.ndarray], dict[str, np.ndarray]], schema: str, rows: int | None = None, overlap: int | None = None) -> DataFrame:
+    """Run ``kernel(columns, starts)`` over (series_id, block) groups, about ``rows`` rows at a time.
 
     ``columns`` hold the counting rows only (the last per series, block and time); null values are NaN.
-    ``starts`` are the groups' first rows plus the end.
+    ``starts`` are the groups' first rows plus the end. A group of more rows than that (a source that
+    reads far more often than it says) comes in slices that share ``overlap`` rows on either side as
+    context; ``columns["sliced"]`` marks the rows of all slices of a group but its first.
     """
     names = [f.name for f in df.schema]
+    rows, overlap = rows or ROWS, OVERLAP_ROWS if overlap is None else overlap
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        n = 0
+        n = lead = 0  # rows held; of these, rows at the start that an earlier slice of their group has answered for
+        sliced = False
 
-        def emit(parts: list[pa.RecordBatch], last: bool) -> tuple[pa.RecordBatch | None, list[pa.RecordBatch]]:
-            t = pa.Table.from_batches(parts)
+        def emit(last: bool) -> pa.RecordBatch | None:
+            nonlocal held, n, lead, sliced
+            t = pa.Table.from_batches(held)
             cols = {k: t.column(k).to_numpy() for k in names}
-            sid, blk = cols["series_id"], cols["block"]
+            sid, blk, ts = cols["series_id"], cols["block"], cols["ts_ms"]
             new = np.flatnonzero((sid[1:] != sid[:-1]) | (blk[1:] != blk[:-1])) + 1
-            end = len(sid)
-            if not last:
-                if not len(new):
-                    return None, parts
-                end = int(new[-1])
-            rest = t.slice(end).combine_chunks().to_batches() if end < len(sid) else []
-            sid, blk, ts = sid[:end], blk[:end], cols["ts_ms"][:end]
+            end = rest = n
+            own = np.arange(n) >= lead
+            more = np.zeros(n, bool)
+            if sliced:
+                more[: new[0] if len(new) else n] = True
+            if not last and len(new):
+                end = rest = int(new[-1])
+            elif not last:
+                at = int(np.searchsorted(ts, ts[-1]))  # a time whose rows may not all be here
+                if at <= 2 * overlap:
+                    return None
+                own[at - overlap :] = False
+                rest, end = at - 2 * overlap, n if overlap else at
+            held = t.slice(rest).combine_chunks().to_batches() if rest < n else []
+            sliced = bool(rest < n and not len(new))
+            lead = overlap if sliced else 0
+            n -= rest
+            sid, blk, ts = sid[:end], blk[:end], ts[:end]
             keep = np.ones(end, bool)
             keep[:-1] = (sid[1:] != sid[:-1]) | (blk[1:] != blk[:-1]) | (ts[1:] != ts[:-1])
             cols = {k: v[:end][keep] for k, v in cols.items()}
+            cols["home"], cols["sliced"] = cols["home"] & own[:end][keep], more[:end][keep]
             sid, blk = cols["series_id"], cols["block"]
             starts = np.r_[0, np.flatnonzero((sid[1:] != sid[:-1]) | (blk[1:] != blk[:-1])) + 1, len(sid)]
-            return pa.RecordBatch.from_pydict(kernel(cols, starts)), rest
+            return pa.RecordBatch.from_pydict(kernel(cols, starts))
 
+        want = rows
         for b in batches:
             if not b.num_rows:
                 continue
             held.append(b)
             n += b.num_rows
-            if n >= rows:
-                out, held = emit(held, False)
-                n = sum(x.num_rows for x in held)
+            if n >= want:
+                out = emit(False)
+                want = 2 * n if out is None else max(rows, n + rows // 2)  # None: nearly all rows have one time
                 if out is not None and out.num_rows:
                     yield out
         if n:
-            out, _ = emit(held, True)
-            if out is not None and out.num_rows:
+            out = emit(True)
+            if out.num_rows:
                 yield out
 
     return df.mapInArrow(run, schema)

@@ -205,7 +205,7 @@ def make_kernel(everything: bool):
         # open ends: a gap may reach from the block's last reading beyond its context
         lone_end = np.flatnonzero(home & tail)
         # the first own reading of a block is out of its predecessor's sight beyond the context
-        first_own = home & np.r_[True, (group[1:] != group[:-1]) | ~home[:-1]] if n else np.zeros(0, bool)
+        first_own = home & ~cols["sliced"][ok] & np.r_[True, (group[1:] != group[:-1]) | ~home[:-1]] if n else np.zeros(0, bool)
         lone_begin = np.flatnonzero(first_own & (ts - block * span_of(step) >= CONTEXT * step))
         open_ = [(1, i, max(edges[np.searchsorted(edges, i, "right") - 1], i + 1 - TAIL), i + 1) for i in lone_end] + [(2, i, i, min(edges[np.searchsorted(edges, i, "right")], i + TAIL)) for i in lone_begin]
         m, e = len(value), len(open_)

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from loomline.operators import drift, spikes
+from loomline.operators import chunks, drift, spikes
 from loomline.operators.grid import regular_grid
 from loomline.operators.spikes import flag_readings
 from loomline.sources.tables import duration_ms, series_dims, unit_bounds
@@ -135,7 +135,7 @@ def test_run_lengths_of_blocks_add_up():
     for size in (3, 7, 50, len(x)):
         n = -(-len(x) // size)
         starts = np.minimum(np.arange(n + 1) * size, len(x))
-        cols = {"series_id": np.full(len(x), 5), "block": np.arange(len(x)) // size, "value": x, "code": np.zeros(len(x), int)}
+        cols = {"series_id": np.full(len(x), 5), "block": np.arange(len(x)) // size, "ts_ms": np.arange(len(x)), "value": x, "code": np.zeros(len(x), int)}
         for shift in range(0, 60, 5):  # other medians
             cols["value"] = np.where(np.arange(len(x)) < 4 * shift, np.arange(len(x)) + 0.5, x)
             got = spikes.make_run_kernel(np.array([-np.inf]), np.array([np.inf]))(cols, starts)
@@ -147,19 +147,56 @@ def test_run_lengths_of_blocks_add_up():
 def test_forward_backward_is_exact():
     g = np.random.default_rng(0)
     z = np.abs(g.standard_normal(40)) * 9
-    rep, base, bar = g.random(40) < 0.3, np.full(40, 0.02), np.zeros(40, bool)
-    got = spikes.posteriors(z, rep, base, bar, np.array([0, 40]))
-    one = np.array([spikes.posteriors(z[i : i + 1], rep[i : i + 1], base[:1], bar[:1], np.array([0, 1]))[0] / spikes.START for i in range(40)])
-    a = [spikes.START * one[0]]
-    for x in one[1:]:
-        a.append((a[-1] / a[-1].sum() @ spikes.MOVE) * x)
+    no = np.zeros(40, bool)
+    e = spikes.emissions(z, g.random(40) < 0.3, no, np.ones(40), np.full(40, 0.02), no)
+    move = spikes.fitted_moves(spikes.posteriors(e, np.array([0, 40])), np.array([0, 40]))
+    assert np.allclose(move.sum(2), 1) and not np.allclose(move[0], spikes.MOVE, atol=1e-3)
+    got = spikes.posteriors(e, np.array([0, 40]), move)
+    a = [spikes.START * e[0]]
+    for x in e[1:]:
+        a.append((a[-1] / a[-1].sum() @ move[0]) * x)
     b = [np.ones(4)]
-    for x in one[:0:-1]:
-        b.insert(0, spikes.MOVE @ (x * b[0] / b[0].sum()))
+    for x in e[:0:-1]:
+        b.insert(0, move[0] @ (x * b[0] / b[0].sum()))
     p = np.array(a) * np.array(b)
     assert np.allclose(got, p / p.sum(1, keepdims=True), atol=1e-6)
 
 
+def test_moves_between_states_decide_flags(spark):
+    pts = noise(600, sd=0.5)
+    wave = lambda i: 20 + 3 * math.sin(i / 50)
+    pts[100], pts[101], pts[300] = (pts[100][0], wave(100) + 30), (pts[101][0], wave(101) + 4.0), (pts[300][0], wave(300) + 4.0)
+    t = tables(spark, {1: pts})
+    # eight scatters are a spike beside a spike, and none alone
+    assert flags(*t) == {(1, pts[100][0]): "spike", (1, pts[101][0]): "spike"}
+    z, no = np.full(60, 0.7), np.zeros(60, bool)
+    z[30] = 8.0
+    e = spikes.emissions(z, no, no, np.ones(60), np.full(60, 0.02), no)
+    spike = [spikes.posteriors(e, np.array([0, 60]), m)[30, 1] for m in (None, np.full((1, 4, 4), 0.25))]
+    assert spike[0] < 0.5 < spike[1]
+
+
+def test_overfull_blocks_come_in_slices(spark, monkeypatch):
+    """A source that reads every 10 ms and says once a minute: all readings lie in one block."""
+    monkeypatch.setattr(chunks, "ROWS", 400)
+    monkeypatch.setattr(chunks, "OVERLAP_ROWS", 60)
+    g = np.random.default_rng(6)
+    start = T - T % (60_000 * 4096)
+    pts = [(start + i * 10, float(round(20 + g.standard_normal(), 3))) for i in range(5000)]
+    hit = [0 + 20, 399, 400, 401, 777, 1999, 4000, 4990]
+    for i in hit:
+        pts[i] = (pts[i][0], 90.0)
+    for i in range(790, 850):
+        pts[i] = (pts[i][0], 20.5)
+    s, t, c = tables(spark, {1: pts, 2: noise(100)}, labels={"a": "b"})
+    assert set(flags(s, t, c)) == {(1, pts[i][0]) for i in [*hit, *range(790, 850)]}
+    later = [(start + 6 * 3_600_000 + i * 10, 1.0 + i % 2) for i in range(1500)]
+    s, t, _ = tables(spark, {1: pts + later}, labels={"a": "b"})
+    got = grid_of(regular_grid(s, t))
+    assert sum(r.n_readings for r in got.values()) == 6500 and len(got) == 361
+    assert {k[1] for k, r in got.items() if r.missing} == set(range(start + 60_000, start + 6 * 3_600_000, 60_000))
+
+
 # ------------------------------------------------------------------------------------------------- grid
 
 
