@@ -1,10 +1,12 @@
 """Schemas that drift between files: matched by similarity flooding, then cast and united.
 
-Every file gets a schema graph: the file, its fields, the fields' types, name parts and nested names,
-and the contents each field has per series. For two successive files of a writer the pairs of nodes
-of equal kind form a propagation graph along equally labelled edges; similarities flow through it
-until they settle. Correspondences are then chosen one to one by falling similarity; a pair that
-shares its contents per series is a renaming, the rest are additions and removals.
+Every file gets a schema graph: the file, its fields, and for each field its contents per series, its
+type, the parts of its name and its nested names. For two successive files of a writer the pairs of
+nodes of equal kind form a propagation graph along equally labelled edges. Pairs of fields start with
+the likeness of their names only; what their contents have in common enters at the pairs of content
+nodes and reaches the fields by flowing through the graph until all similarities settle. Pairs of a
+field gone and a field come are then chosen one to one by falling settled similarity: those that reach
+ACCEPT are renamings, the rest are additions and removals.
 
 Defined cases. Payloads that are null or no JSON object are unreadable and do not count; a record
 delivered twice counts once in the table. A field exists in a file if a readable record holds it
@@ -33,10 +35,16 @@ CHANGES = "file_id bigint, change string, field_name string, old_name string, ol
 PROFILE = "file_id bigint, profile string, fields array<string>"
 CONTENT = "file_id bigint, field string, series bigint, content bigint"
 
-#: Weight of a node's start similarity against what flows in, and when the flow has settled.
+#: Most rounds of the flow, and the change below which it has settled.
 ROUNDS, SETTLED = 60, 1e-4
-#: Share of series on which two fields must agree in content to be one field, and least such series.
-AGREE, SHARED = 0.6, 2
+#: Weights of what a pair of fields hears from, by edge label.
+WEIGHTS = {"contents": 8.0, "part": 1.0, "type": 0.5, "has": 0.5, "inner": 0.5}
+#: Share of a pair's similarity that flows in, by kind of node; pairs of fields without common series lean on their names.
+FLOW = {"field": 0.85, "unmet": 0.5, "contents": 0.2, "type": 0.2, "part": 0.2, "inner": 0.2, "file": 0.2}
+#: Settled similarity from which two fields are one.
+ACCEPT = 0.38
+#: Agreement in a single content may be chance: it counts by this share.
+ONE_CONTENT = 0.4
 #: Records a task takes in before it hands on its partial profiles or contents.
 HELD_RECORDS = 20_000
 #: How a number in a string may begin.
@@ -129,7 +137,7 @@ def series_of(o: dict) -> str:
         if o.get(k) is not None:
             return str(o[k])
     for v in o.values():
-        if isinstance(v, int) and not isinstance(v, bool) and v > 2**48 or isinstance(v, str) and v.isdigit() and len(v) > 15:
+        if isinstance(v, int) and not isinstance(v, bool) and v > 2**53 or isinstance(v, str) and v.isdigit() and len(v) > 15 and int(v) > 2**53:
             return str(v)
     return "?"
 
@@ -189,67 +197,70 @@ def name_similarity(a: str, b: str) -> float:
 Agreement = dict[tuple[str, str], tuple[int, int, int]]
 
 
-def agreement(counts: Agreement, a: str, b: str) -> tuple[float, int, int]:
-    """Share of common series whose contents meet, their number, and the distinct contents that met."""
+def agreement(counts: Agreement, a: str, b: str) -> float | None:
+    """Start similarity of the contents of two fields: the share of common series that agree, less for few; None without common series."""
     common, met, distinct = counts.get((a, b), (0, 0, 0))
-    return met / max(1, common), common, distinct
+    return met / (common + 1) * (1.0 if distinct > 1 else ONE_CONTENT) if common else None
 
 
 def flood(old: dict[str, dict], new: dict[str, dict], counts: Agreement) -> dict[tuple[str, str], float]:
     """Settled similarity of every pair of fields of two files."""
-    def graph(fields: dict[str, dict]) -> list[tuple[tuple, str, tuple]]:
-        edges = []
-        for name, f in fields.items():
-            node = ("field", name)
-            edges.append((("file", ""), "has", node))
-            edges.append((node, "type", ("type", main_type(f["types"]))))
-            edges += [(node, "part", ("part", p)) for p in name_parts(name)]
-            edges += [(node, "inner", ("inner", i)) for i in f["inner"]]
-        return edges
-
-    start: dict[tuple, float] = {}
-    for a in old:
-        for b in new:
-            share, n, distinct = agreement(counts, a, b)
-            same = share if n >= SHARED and distinct >= 2 else share * 0.5 if n else 0.0
-            start[("field", a), ("field", b)] = 1.0 if a == b else 0.15 * name_similarity(a, b) + 0.85 * same
-    by_label: dict[tuple[str, str, str], list] = defaultdict(list)
-    for s, label, t in graph(new):
-        by_label[label, s[0], t[0]].append((s, t))
+    start: dict[tuple, float] = {("file", "", ""): 1.0}
+    flow: dict[tuple, float] = {}
     links: dict[tuple, list[tuple]] = defaultdict(list)
-    for s, label, t in graph(old):
-        for s2, t2 in by_label[label, s[0], t[0]]:
-            if t[0] in ("type", "part", "inner") and t[1] != t2[1]:
-                continue  # leaves propagate only where they are equal
-            links[s, s2].append((t, t2))
-            links[t, t2].append((s, s2))
-    nodes = {k: start.get(k, 1.0 if k[0] == k[1] else 0.0) for k in links}
-    sim = dict(nodes)
+    deaf: dict[tuple, float] = defaultdict(float)  # weight of what has no counterpart: it is heard as 0
+
+    def edge(x: tuple, y: tuple, label: str, weight: float = 1.0) -> None:
+        links[x].append((y, weight * WEIGHTS[label]))
+        links[y].append((x, weight * WEIGHTS[label]))
+
+    def leaves(pair: tuple, label: str, mine: list, other: list) -> None:
+        both = set(mine) & set(other)
+        every = len(set(mine) | set(other))
+        for x in both:
+            start[label, x, x] = 1.0
+            edge(pair, (label, x, x), label, 1 / every)
+        deaf[pair] += WEIGHTS[label] * (every - len(both)) / max(1, every)
+
+    parts = {k: name_parts(k) for k in {*old, *new}}
+    for a, f in old.items():
+        for b, g in new.items():
+            pair = ("field", a, b)
+            start[pair] = name_similarity(a, b)
+            edge(("file", "", ""), pair, "has")
+            same = agreement(counts, a, b)
+            flow[pair] = FLOW["unmet" if same is None else "field"]
+            if same is not None:
+                start["contents", a, b] = same
+                edge(pair, ("contents", a, b), "contents")
+            leaves(pair, "type", [main_type(f["types"])], [main_type(g["types"])])
+            leaves(pair, "part", parts[a], parts[b])
+            if f["inner"] or g["inner"]:
+                leaves(pair, "inner", list(f["inner"]), list(g["inner"]))
+    heard = {k: sum(w for _, w in v) + deaf[k] for k, v in links.items()}
+    sim = {k: start[k] for k in links}
     for _ in range(ROUNDS):
-        nxt = {k: nodes[k] + 0.2 * sum(sim[m] / len(links[m]) for m in links[k]) for k in nodes}
-        top = max((v for k, v in nxt.items() if k[0][0] == "field"), default=1.0) or 1.0
-        nxt = {k: min(v / top, 1.0) for k, v in nxt.items()}
+        nxt = {}
+        for k, v in links.items():
+            c = flow.get(k) or FLOW[k[0]]
+            nxt[k] = (1 - c) * start[k] + c * sum(w * sim[m] for m, w in v) / heard[k]
         moved = max((abs(nxt[k] - sim[k]) for k in nxt), default=0.0)
         sim = nxt
         if moved < SETTLED:
             break
-    return {(a[1], b[1]): v for (a, b), v in sim.items() if a[0] == "field"}
+    return {(k[1], k[2]): v for k, v in sim.items() if k[0] == "field"}
 
 
 def correspond(old: dict[str, dict], new: dict[str, dict], counts: Agreement) -> dict[str, tuple[str, float]]:
-    """New field -> (old field, similarity), one to one. Equal names stay; others must share their contents."""
+    """New field -> (old field, similarity), one to one. Equal names stay; others must reach ACCEPT."""
     gone, come = set(old) - set(new), set(new) - set(old)
     sim = flood(old, new, counts) if gone and come else {}  # with nothing gone or nothing come, names alone decide
     found = {k: (k, sim.get((k, k), 1.0)) for k in new if k in old}
     for (a, b), s in sorted(sim.items(), key=lambda kv: (-kv[1], kv[0])):
-        if a in gone and b in come:
-            share, n, distinct = agreement(counts, a, b)
-            steady = n >= SHARED and share >= AGREE and distinct >= 2
-            alike = name_similarity(a, b) >= 0.45 and main_type(old[a]["types"]) == main_type(new[b]["types"]) and (n < SHARED and share >= AGREE or n == 0)
-            if steady or alike:
-                found[b] = (a, s)
-                gone.discard(a)
-                come.discard(b)
+        if s >= ACCEPT and a in gone and b in come:
+            found[b] = (a, s)
+            gone.discard(a)
+            come.discard(b)
     return found
 
 
@@ -602,6 +613,19 @@ def columns_of(fields: Iterable[str]) -> dict[str, str]:
     return out
 
 
+def under(names: dict[str, str], o: dict) -> tuple[dict, dict]:
+    """A record under canonical names, and the fields whose name was taken, under their own: the first name of a field comes first."""
+    out: dict = {}
+    also: dict = {}
+    for k, v in sorted(o.items(), key=lambda kv: kv[0] in names):
+        if v is not None:
+            if names.get(k, k) in out:
+                also[k] = v
+            else:
+                out[names.get(k, k)] = v
+    return out, also
+
+
 def united(names: dict[str, str], targets: dict[str, str], schema: pa.Schema):
     cast = [(k, CAST[t]) for k, t in targets.items()]
 
@@ -618,13 +642,13 @@ def united(names: dict[str, str], targets: dict[str, str], schema: pa.Schema):
                 o = readable(p)
                 if o is None:
                     continue
-                o = {names.get(k, k): v for k, v in o.items() if v is not None}
+                o, also = under(names, o)
                 got = {k: c(o[k]) for k, c in (*core, *cast) if k in o}
                 crc, pairs = got.get("labels_crc32"), pairs_of(o.get("tags"))
                 if crc is not None:
                     got["labels_crc32"] = crc = crc % 2**32
                 ok = None if crc is None or pairs is None else crc == crc_of(pairs)
-                extra = json.dumps({k: v for k, v in o.items() if got.get(k) is None}, sort_keys=True)
+                extra = json.dumps(also | {k: v for k, v in o.items() if got.get(k) is None}, sort_keys=True)
                 for column, v in zip(out, (f, r, *(got.get(k) for k, _ in core), ok, *(got.get(k) for k, _ in cast), extra)):
                     column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, schema.types)], schema=schema)

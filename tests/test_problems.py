@@ -281,6 +281,34 @@ def test_same_name_other_content_is_no_renaming(spark):
     assert changes(blocks(spark, [(1, "w", 0, a), (2, "w", 1, b)])) == {(2, "removed", "owner", ""), (2, "added", "build", "")}
 
 
+def test_flooding_decides_renamings(monkeypatch):
+    def file(**fields):
+        p = drift.Profile()
+        for i in range(10):
+            p.add({k: f(i) for k, f in fields.items()})
+        return p.fields
+
+    old = file(timestamp=lambda i: i, owner=lambda i: f"crew-{i}", rack=lambda i: f"r{i}", hostName=lambda i: f"h{i}")
+    new = file(timestamp=lambda i: i, team=lambda i: f"crew-{i}", zone=lambda i: f"z{i}", host_name=lambda i: f"h{i}")
+    counts = {(a, b): (10, 0, 0) for a in old for b in new if a != b} | {("owner", "team"): (10, 9, 9)}
+    del counts["hostName", "host_name"]  # no common series: the names decide
+    got = {b: a for b, (a, _) in drift.correspond(old, new, counts).items()}
+    assert got == {"timestamp": "timestamp", "team": "owner", "host_name": "hostName"}
+    sim = drift.flood(old, new, counts)
+    assert sim["owner", "team"] > drift.ACCEPT > max(sim["owner", "zone"], sim["rack", "zone"], sim["rack", "team"])
+    monkeypatch.setattr(drift, "flood", lambda o, n, c: {(a, b): 0.5 for a in o for b in n})
+    assert {b: a for b, (a, _) in drift.correspond(old, new, counts).items()} != got
+
+
+def test_two_fields_under_one_name(spark):
+    a = [record(i, owner=f"crew-{i % 5}") for i in range(20)]
+    b = [record(i, team=f"crew-{i % 5}") for i in range(20)]
+    both = [record(i, team="x", owner="y") for i in range(3)]
+    df = blocks(spark, [(1, "w", 0, a), (2, "w", 1, b), (3, "v", 0, both)])
+    rows = drift.one_table(df, drift.schema_changes(df)).where("file_id = 3").collect()
+    assert all(r.owner == "y" and json.loads(r.extra) == {"team": "x"} for r in rows) and len(rows) == 3
+
+
 def test_unreadable_null_and_empty(spark):
     a = [record(i) for i in range(6)]
     broken = json.dumps(record(1, extra=1))[:40]
