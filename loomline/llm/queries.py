@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from loomline.llm.distinct import distinct_counts, next_day_overlap
 from loomline.llm.frequent import frequent_items
-from loomline.llm.leaks import WINDOW, leaks
-from loomline.llm.lookalike import normalized, same_look_pairs
+from loomline.llm.leaks import leaks
+from loomline.llm.lookalike import look_classes, normalized, same_look_pairs
 from loomline.llm.packing import containers
 from loomline.llm.quantiles import joined, partials
+from loomline.llm.sql import SQL  # noqa: F401
 from loomline.sources.tables import table
 
 
@@ -33,12 +34,12 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_values(spark: SparkSession, sf: str) -> DataFrame:
     """Values with at least 0.1 % of the rows of their label, over all days."""
-    return frequent_items(table(spark, sf, "label_log"), ["label_name"], "label_value", 1, 1000, buckets=8192)
+    return frequent_items(table(spark, sf, "label_log"), ["label_name"], "label_value", 1, 1000, buckets=8192).drop("coarse_bound")
 
 
 def p4_series(spark: SparkSession, sf: str) -> DataFrame:
     """Series with at least 0.01 % of a day's rows."""
-    return frequent_items(daily(table(spark, sf, "label_log")), ["day"], "series_id", 1, 10_000, buckets=32_768)
+    return frequent_items(daily(table(spark, sf, "label_log")), ["day"], "series_id", 1, 10_000, buckets=32_768).drop("coarse_bound")
 
 
 def p5_percentiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,7 +61,7 @@ def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p8_leaks(spark, sf).where(F.col("exact_words") >= WINDOW).select("doc_id", "item_id")
+    return p8_leaks(spark, sf).where("edits = 0").select("doc_id", "item_id")
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,12 +73,9 @@ def p9_texts(spark: SparkSession, sf: str) -> DataFrame:
     return normalized(table(spark, sf, "documents"))
 
 
-QUERIES = {"p2_distinct": p2_distinct, "p2_next_day": p2_next_day, "p4_found": p4_found, "p4_values": p4_values, "p4_series": p4_series, "p5_percentiles": p5_percentiles, "p5_all_days": p5_all_days, "p7_containers": p7_containers, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_texts": p9_texts}
+def p9_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's class of texts that look the same."""
+    return look_classes(table(spark, sf, "documents"))
 
-FREQUENT_SQL = """WITH c AS (SELECT {groups}, {item} AS item, count(*) AS n_rows FROM (SELECT *, strftime(seen_at, '%Y-%m-%d') AS day FROM label_log) WHERE {known} GROUP BY ALL),
-t AS (SELECT *, sum(n_rows) OVER (PARTITION BY {groups})::BIGINT AS group_rows FROM c)
-SELECT {out} FROM t WHERE n_rows * {den} >= group_rows"""
 
-SQL = {
-    "p4_found": FREQUENT_SQL.format(groups="day, label_name", item="label_value", known="label_value <> '' AND label_name IS NOT NULL AND seen_at IS NOT NULL", den=100, out="day, label_name, item AS label_value"),
-}
+QUERIES = {"p2_distinct": p2_distinct, "p2_next_day": p2_next_day, "p4_found": p4_found, "p4_values": p4_values, "p4_series": p4_series, "p5_percentiles": p5_percentiles, "p5_all_days": p5_all_days, "p7_containers": p7_containers, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_texts": p9_texts, "p9_classes": p9_classes}
