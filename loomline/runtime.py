@@ -5,13 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
-#: A side is broadcast only when it was counted and has at most this many rows (tens of bytes each).
-BROADCAST_ROWS = 1_000_000
+#: A side is broadcast only when it was counted and has at most this many rows, and its rows at most this many bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+#: Bytes that a value of a type of fixed size takes in a row; texts and the like are measured.
+FIXED_BYTES = 8
 
 
 def session(app: str = "loomline", master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -51,11 +54,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def measured(df: DataFrame) -> Column:
+    """Bytes of a row: fixed-size columns by their count, the rest by the length of their text."""
+    size = F.lit(FIXED_BYTES * (len(df.columns) + 1)).cast("long")
+    for f in df.schema:
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, (ArrayType, MapType, StructType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0))
+    return size
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a table may be broadcast. Reads no more than ``rows + 1`` of its rows."""
+    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(measured(df))).first()
+    return n <= rows and (total or 0) <= size
+
+
 def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a side that is usually small: broadcast if its counted size allows, else by shuffle.
+    """Join with a side that is usually small: broadcast if its counted rows and bytes allow, else by shuffle.
 
     The count stops after ``limit + 1`` rows, so it stays cheap however large ``right`` is. Beyond the
     limit the join is left to Catalyst, where AQE splits skewed keys of ``left``.
     """
-    small = right.limit(limit + 1).count() <= limit
-    return left.join(F.broadcast(right) if small else right, on, how)
+    return left.join(F.broadcast(right) if is_small(right, limit) else right, on, how)
