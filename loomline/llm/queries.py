@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.distinct import distinct_counts, next_day_overlap
+from loomline.llm.distinct import cluster_overlap, distinct_counts, next_day_overlap
 from loomline.llm.frequent import frequent_items
 from loomline.llm.leaks import leaks
 from loomline.llm.lookalike import look_classes, normalized, same_look_pairs
@@ -24,6 +24,11 @@ def p2_next_day(spark: SparkSession, sf: str) -> DataFrame:
     return next_day_overlap(table(spark, sf, "label_log"))
 
 
+def p2_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Union, intersection and Jaccard of the sets of successive clusters of a tenant."""
+    return cluster_overlap(table(spark, sf, "label_log"))
+
+
 def daily(log: DataFrame) -> DataFrame:
     return log.select(F.date_format("seen_at", "yyyy-MM-dd").alias("day"), "label_name", "label_value", "series_id")
 
@@ -78,4 +83,4 @@ def p9_classes(spark: SparkSession, sf: str) -> DataFrame:
     return look_classes(table(spark, sf, "documents"))
 
 
-QUERIES = {"p2_distinct": p2_distinct, "p2_next_day": p2_next_day, "p4_found": p4_found, "p4_values": p4_values, "p4_series": p4_series, "p5_percentiles": p5_percentiles, "p5_all_days": p5_all_days, "p7_containers": p7_containers, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_texts": p9_texts, "p9_classes": p9_classes}
+QUERIES = {"p2_distinct": p2_distinct, "p2_next_day": p2_next_day, "p2_clusters": p2_clusters, "p4_found": p4_found, "p4_values": p4_values, "p4_series": p4_series, "p5_percentiles": p5_percentiles, "p5_all_days": p5_all_days, "p7_containers": p7_containers, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_texts": p9_texts, "p9_classes": p9_classes}
