@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.runtime import join_small
+from loomline.runtime import cut, join_small
 
 HASHES, BUCKETS = 3, 1024
 
@@ -58,7 +58,8 @@ def frequent_items(rows: DataFrame, groups: list[str], item: str, num: int, den:
     spots = F.explode(F.array(*[F.struct(F.lit(h).alias("hash"), bucket(F.col("item"), h, buckets).alias("bucket")) for h in range(hashes)]))
     coarse = items.select(*groups, spots.alias("s")).groupBy(*groups, "s.hash", "s.bucket").agg(F.count(F.lit(1)).alias("n"))
     whole = F.sum("n").over(Window.partitionBy(*groups, "hash"))
-    heavy = coarse.withColumn("group_rows", whole).where(F.col("n") * den >= F.col("group_rows") * num)
+    # at most den/num buckets a hash and group, kept so that pass 1 runs once
+    heavy = cut(coarse.withColumn("group_rows", whole).where(F.col("n") * den >= F.col("group_rows") * num))
     sets = heavy.groupBy(*groups, "hash", word(F.col("bucket")).alias("word")).agg(F.bit_or(bit(F.col("bucket"))).alias("bits"), F.max("group_rows").alias("group_rows"))
     found = [F.collect_list(F.when(F.col("hash") == h, F.struct("word", "bits"))).alias(f"h{h}") for h in range(hashes)]
     filters = sets.groupBy(*groups).agg(F.max("group_rows").alias("group_rows"), *found)
