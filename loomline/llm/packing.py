@@ -2,9 +2,11 @@
 
 Texts are dealt by hash into batches of about ``BATCH`` texts. In a batch, Karmarkar-Karp differencing
 in k windows repeatedly joins the two partial partitions with the largest spread, largest sums onto
-smallest, which ends in k windows of nearly equal size. k starts at the least possible number and
-rises by one whenever the fullest window exceeds the capacity. Texts longer than a container are cut
-into full containers and a rest, the only ones that are split.
+smallest, which ends in k windows of nearly equal size. Where sizes are so coarse that some windows still
+exceed the capacity, items are moved and swapped as long as that lowers what exceeds it. k starts at the
+least possible number, that of the volume or of the items above half a container, and rises whenever
+the capacity is still exceeded. Texts longer than a container are cut into full containers and a rest,
+the only ones that are split.
 
 Defined cases. Null texts and texts without tokens take no room and are left out. Repeated rows are
 packed as often as they stand. Empty tables give empty results.
@@ -22,10 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.runtime import cut
+
 CAPACITY, BATCH = 2048, 1024
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PACKED = "container_id bigint, doc_id bigint, piece_no int, token_start int, token_end int, n_tokens int, container_tokens int"
 SIZES = "doc_id bigint, n_tokens int"
+#: Tasks that batches are packed in, at most.
+MOST_TASKS = 10_000
 
 #: Fixed value: how the vocabulary's tokenizer splits text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -91,23 +97,55 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def settled(sizes: np.ndarray, where: np.ndarray, k: int, capacity: int) -> tuple[np.ndarray, int]:
+    """Windows after moves and swaps of items that lower what exceeds the capacity, and how much still does."""
+    n = len(sizes)
+    fill = np.bincount(where, weights=sizes, minlength=k).astype(np.int64)
+    s, at = np.r_[sizes, np.zeros(k, np.int64)], np.r_[where, np.arange(k)]  # a swap with a window's empty slot is a move
+    moved = True
+    while moved and (fill > capacity).any():
+        moved = False
+        over = np.flatnonzero(fill > capacity)
+        for w in over[np.argsort(-fill[over], kind="stable")]:
+            while fill[w] > capacity:
+                mine = np.flatnonzero(at[:n] == w)
+                d, there = s[mine][:, None] - s[None, :], fill[at]
+                change = np.maximum(fill[w] - d - capacity, 0) - (fill[w] - capacity) + np.maximum(there + d - capacity, 0) - np.maximum(there - capacity, 0)
+                change = np.where((at == w)[None, :] | (d <= 0), np.iinfo(np.int32).max, change)
+                # the least excess; among equals, into the window that is left fullest
+                i, j = divmod(int(np.argmin(change * (2 * capacity) - np.minimum(there + d, capacity))), n + k)
+                if change[i, j] >= 0:
+                    break
+                x, v = mine[i], at[j]
+                fill[w], fill[v] = fill[w] - d[i, j], fill[v] + d[i, j]
+                at[x] = v
+                if j < n:
+                    at[j] = w
+                moved = True
+    return at[:n], int(np.maximum(fill - capacity, 0).sum())
+
+
+def least_windows(sizes: np.ndarray, capacity: int) -> int:
+    """Number of windows that no packing can go below: by volume, and by items of which no two share a window."""
+    return max(1, -(-int(sizes.sum()) // capacity), int((2 * sizes > capacity).sum()))
+
+
 def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     """Window of each item and number of windows; every item must fit the capacity."""
-    total = int(sizes.sum())
-    k = max(1, -(-total // capacity))
+    k = least_windows(sizes, capacity)
     while True:
-        where = differencing(sizes, k)
-        if np.bincount(where, weights=sizes, minlength=k).max() <= capacity:
+        where, excess = settled(sizes, differencing(sizes, k), k, capacity)
+        if not excess:
             return where, k
-        k += 1
+        k += -(-excess // capacity)
 
 
 def containers(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, batch: int = BATCH) -> DataFrame:
     """One row per piece of text: its container, its token range, and how full the container is."""
-    n = documents.where("text is not null").count()
-    batches_ = max(1, -(-n // batch))
-    sizes = token_counts(documents, vocabulary).where("n_tokens > 0 and doc_id is not null")
-    dealt = sizes.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches_))).repartition("batch").sortWithinPartitions("batch", "doc_id")
+    sizes = cut(token_counts(documents, vocabulary).where("n_tokens > 0 and doc_id is not null"))  # texts are read once
+    batches_ = max(1, -(-sizes.count() // batch))
+    # rows are few bytes and much work, so the number of tasks is stated and not left to their size
+    dealt = sizes.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches_))).repartition(min(batches_, MOST_TASKS), "batch").sortWithinPartitions("batch", "doc_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []

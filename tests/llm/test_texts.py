@@ -208,6 +208,26 @@ def test_differencing_balances():
     assert sums.max() - sums.min() <= 5
 
 
+def first_fit_decreasing(sizes, capacity):
+    rooms = []
+    for s in sorted(sizes, reverse=True):
+        at = next((i for i, r in enumerate(rooms) if r >= s), None)
+        if at is None:
+            rooms.append(capacity - s)
+        else:
+            rooms[at] -= s
+    return len(rooms)
+
+
+@pytest.mark.parametrize("lo,hi", [(300, 1400), (700, 1200), (500, 800), (1, 2048), (1, 300)])
+def test_packs_of_coarse_sizes_are_as_full_as_first_fit_decreasing(lo, hi):
+    sizes = np.random.default_rng(lo).integers(lo, hi + 1, 1024)
+    where, k = P.pack(sizes, 2048)
+    fill = np.bincount(where, weights=sizes, minlength=k)
+    assert fill.max() <= 2048 and len(fill) == k >= P.least_windows(sizes, 2048)
+    assert k <= 1.02 * first_fit_decreasing(sizes.tolist(), 2048)
+
+
 def test_containers(spark):
     rnd = random.Random(1)
     word = lambda n: " ".join(rnd.choice(["order", "budget", "the", "Größe"]) for _ in range(n))
