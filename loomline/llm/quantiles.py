@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.runtime import BROADCAST_ROWS
+from loomline.runtime import cut, is_small, join_small
 from loomline.sources.tables import series_dims
 
 K, FAN = 512, 8
 LABELS = ("service", "method", "zone")
 PERCENTS = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
-#: Rows a partition key should have before sketches are made in several parts and joined.
-ROWS_PER_PART = 1_000_000
+#: Rows of a day that one part of it should have; the parts of a day make sketches of their own, which join.
+ROWS_PER_PART = 100_000
 
 PARTIAL = "metric string, day string, label_name string, label_value string, level int, collapsed double, data array<double>"
 
@@ -99,10 +99,10 @@ class Sketch:
         return n, x[at], self.collapsed / 2 + (top / 2 if top > 1 else 0.0)
 
 
-def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sketches of rows sorted by (day, part, series, time): one per group and part."""
+def build(batches: Iterator[pa.RecordBatch], labels: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Sketches of a task's rows, sorted by (day, series, time): one per group, day and task."""
     sketches: dict[tuple, Sketch] = {}
-    at: tuple | None = None
+    at: int | None = None
     kept: tuple | None = None  # last row seen, not yet known to count
 
     def emit() -> pa.RecordBatch:
@@ -112,8 +112,8 @@ def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pydict({"metric": pa.array(cols[0], pa.string()), "day": pa.array(cols[1], pa.string()), "label_name": pa.array(cols[2], pa.string()), "label_value": pa.array(cols[3], pa.string()), "level": pa.array(cols[4], pa.int32()), "collapsed": pa.array(cols[5], pa.float64()), "data": pa.array(list(cols[6]), pa.list_(pa.float64()))})
 
     def take(keys: tuple, x: np.ndarray) -> None:
-        metric, day, labels = keys
-        groups = [(metric, day, "", "")] + [(metric, day, n, v) for n, v in zip(LABELS, labels) if v is not None]
+        metric, day, held = keys
+        groups = [(metric, day, "", "")] + [(metric, day, n, v) for n, v in zip(labels, held) if v is not None]
         for g in groups:
             s = sketches.get(g)
             if s is None:
@@ -124,23 +124,23 @@ def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not b.num_rows:
             continue
         days = b.column("day_no").to_numpy()
-        part, sid, ts = (b.column(k).to_numpy() for k in ("part", "series_id", "ts_ms"))
+        sid, ts = (b.column(k).to_numpy() for k in ("series_id", "ts_ms"))
         x = b.column("value").to_numpy(zero_copy_only=False)
         n = len(ts)
         same = np.zeros(n, bool)
         same[:-1] = (sid[1:] == sid[:-1]) & (ts[1:] == ts[:-1])
         counts = ~same
         counts[-1] = False  # the next batch may correct it
-        run = np.r_[0, np.flatnonzero((sid[1:] != sid[:-1]) | (days[1:] != days[:-1]) | (part[1:] != part[:-1])) + 1, n]
+        run = np.r_[0, np.flatnonzero((sid[1:] != sid[:-1]) | (days[1:] != days[:-1])) + 1, n]
         heads = pa.array(run[:-1])
-        names = [b.column(k).take(heads).to_pylist() for k in ("metric", *LABELS)]
+        names = [b.column(k).take(heads).to_pylist() for k in ("metric", *(f"label_{i}" for i in range(len(labels))))]
         day_names = np.datetime_as_string(days[run[:-1]].astype("datetime64[D]"))
         if kept is not None:
             if kept[0] != (sid[0], ts[0]) and kept[2] == kept[2]:
                 take(kept[1], np.array([kept[2]]))
             kept = None
         for i, (lo, hi) in enumerate(zip(run[:-1], run[1:])):
-            now = (days[lo], part[lo])
+            now = days[lo]
             if at is not None and now != at and sketches:
                 yield emit()
             at = now
@@ -160,24 +160,27 @@ def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def partials(samples: DataFrame, timeseries: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFrame:
     """Sketches per metric, day and label value (label_name empty: all of the metric).
 
-    Rows meet by (day, part): the part is a hash of series and hour, so that neither a day nor a
-    series can fill a task; there are as many parts as the rows per day need.
+    Rows meet by (day, part): the part is a hash of series and hour, so that neither a day nor a series
+    can fill a task. Every day has as many parts as its own rows need, so a day with most of all rows is
+    split and a stray reading of another century changes nothing. Rows that repeat a series and time have
+    to meet before they may be counted, so readings are shuffled once, as numbers; metric and labels are
+    attached to them afterwards where the series table is small enough to be broadcast.
     """
-    spark = samples.sparkSession
     rows = samples.where(F.col("series_id").isNotNull() & F.col("ts_ms").isNotNull()).select("series_id", "ts_ms", "value", "ingested_at")
-    n, first, last = rows.agg(F.count(F.lit(1)), F.min("ts_ms"), F.max("ts_ms")).first()
-    days = 1 if not n else max(1, (last - first) // 86_400_000 + 1)
-    parts = max(1, -(-int(n) // (days * ROWS_PER_PART)))
-    dims = series_dims(timeseries).select("series_id", "metric", *[F.col("labels")[k].alias(k) for k in labels])
-    hour = F.floor(F.col("ts_ms") / 3_600_000)
-    keyed = lambda df: df.withColumn("day_no", F.floor(F.col("ts_ms") / 86_400_000).cast("int")).withColumn("part", F.pmod(F.xxhash64("series_id", hour), F.lit(parts)).cast("int"))
-    order = ["day_no", "part", "series_id", "ts_ms"]
-    if dims.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        # labels are attached after the shuffle, which then moves numbers only
-        ready = keyed(rows).repartition("day_no", "part").join(F.broadcast(dims), "series_id", "left")
+    day = F.floor(F.col("ts_ms") / 86_400_000).cast("int")
+    sizes = cut(rows.groupBy(day.alias("day_no")).agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_PART).cast("int").alias("parts")))
+    # one number stands for day and part, so that no more than that is shuffled with a reading
+    part = F.pmod(F.xxhash64("series_id", F.floor(F.col("ts_ms") / 3_600_000)), F.col("parts"))
+    keyed = join_small(rows.withColumn("day_no", day), sizes, "day_no").withColumn("spot", F.hash("day_no", part)).drop("parts", "day_no")
+    names = [f"label_{i}" for i in range(len(labels))]
+    dims = cut(series_dims(timeseries).select("series_id", "metric", *[F.col("labels")[k].alias(n) for k, n in zip(labels, names)]))
+    if is_small(dims):
+        ready = keyed.repartition("spot").join(F.broadcast(dims), "series_id", "left")
     else:
-        ready = keyed(rows.join(dims, "series_id", "left")).repartition("day_no", "part")
-    return ready.sortWithinPartitions(*order, "ingested_at").select(*order, "value", "metric", *labels).mapInArrow(build, PARTIAL)
+        ready = keyed.join(dims, "series_id", "left").repartition("spot")
+    order = ["day_no", "series_id", "ts_ms"]
+    ready = ready.withColumn("day_no", day).sortWithinPartitions(*order, "ingested_at").select(*order, "value", "metric", *names)
+    return ready.mapInArrow(lambda batches: build(batches, labels), PARTIAL)
 
 
 def joined(parts: DataFrame, groups: list[str], shares: tuple[float, ...] = PERCENTS) -> DataFrame:

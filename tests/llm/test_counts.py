@@ -30,11 +30,40 @@ def test_estimates_keep_the_stated_error(spark, base):
     assert len(got) == 5 and all(abs(r.distinct_estimate - 20_000) < 4 * r.relative_error * 20_000 for r in got)
 
 
-def test_merging_equals_counting_together(spark):
-    df = spark.range(5000).select((F.col("id") % 7).cast("string").alias("day"), F.xxhash64(F.col("id") % 3000).alias("h"))
-    together = D.registers(df.withColumn("x", F.lit(1)), ["x"], "h").select("register", "level")
-    merged = D.merge(D.registers(df, ["day"], "h").withColumn("x", F.lit(1)), ["x"]).select("register", "level")
-    assert sorted(map(tuple, together.collect())) == sorted(map(tuple, merged.collect()))
+def contents(df, m):
+    t = df.select("registers").toArrow()
+    row, code = D.entries(t.column("registers"), m)
+    return sorted(zip(row.tolist(), code.tolist()))
+
+
+@pytest.mark.parametrize("n", [100, 20_000])  # few registers used, and all
+def test_merging_equals_counting_together(spark, monkeypatch, n):
+    monkeypatch.setattr(D, "HELD_ROWS", 900)
+    monkeypatch.setattr(D, "HELD_ENTRIES", 700)
+    df = spark.range(n).select((F.col("id") % 7).cast("string").alias("day"), F.xxhash64(F.col("id") % (n * 3 // 5)).alias("h"))
+    together = D.registers(df.withColumn("x", F.lit(1)), ["x"], "h")
+    merged = D.merge(D.registers(df, ["day"], "h").withColumn("x", F.lit(1)), ["x"])
+    assert together.count() == 1 and contents(together, D.M) == contents(merged, D.M)
+    want = {r.r: r.l for r in df.groupBy(D.register(F.col("h")).alias("r")).agg(F.max(D.level(F.col("h"))).alias("l")).collect()}
+    assert {c >> 16: c & 0xFFFF for _, c in contents(together, D.M)} == want
+
+
+def test_fold_in_chunks_equals_fold_at_once():
+    import pyarrow as pa
+
+    g = np.random.default_rng(3)
+    group, code = np.sort(g.integers(0, 40, 5000)), g.integers(0, 64, 5000) << 16 | g.integers(1, 99, 5000)
+    t = pa.table({"g": pa.array([None if x == 7 else f"g{x}" for x in group]), "registers": pa.array(code)})
+    whole = D.fold(t, ["g"], 64)
+    assert whole.num_rows == 40
+    old = D.HELD_ROWS, D.HELD_ENTRIES
+    D.HELD_ROWS, D.HELD_ENTRIES = 300, 120
+    try:
+        parts = list(D.folding(["g"], 64, False)(iter(t.to_batches(max_chunksize=37))))
+        got = pa.Table.from_batches(list(D.folding(["g"], 64, True)(iter(pa.Table.from_batches(parts).sort_by("g").to_batches(max_chunksize=5)))))
+    finally:
+        D.HELD_ROWS, D.HELD_ENTRIES = old
+    assert got.num_rows == 40 and sorted(map(repr, got.to_pylist())) == sorted(map(repr, whole.to_pylist()))
 
 
 def test_groupings_and_odd_rows(spark):
@@ -69,6 +98,18 @@ def test_joint_estimates(spark, only_a, only_b, both):
     union = only_a + only_b + both
     assert r.union_estimate == pytest.approx(union, rel=0.09)
     assert abs(r.jaccard_estimate - both / union) < 0.05 and abs(r.intersection_estimate - both) < 0.07 * union + 3
+    assert abs(r.union_estimate - union) <= 4 * r.union_error + 2 and (union < 1000 or r.union_error <= 0.04 * union)
+    assert abs(r.intersection_estimate - both) <= 4 * r.intersection_error + 2 and abs(r.jaccard_estimate - both / union) <= 4 * r.jaccard_error + 0.01
+
+
+def test_overlaps_of_days_and_clusters(spark):
+    rows = [(d, t, c, 100 * d + 50 * k + s, "pod", f"p{s}") for d in (0, 1, 3) for t in ("a", None) for k, c in enumerate("xyz") for s in range(100)]
+    got = {(r.kind, r.tenant, r.day): r for r in D.next_day_overlap(log(spark, rows)).collect()}
+    assert set(got) == {(k, t, "2016-03-01") for k in ("series_id", "label:pod") for t in ("a", None)}
+    assert abs(got["series_id", None, "2016-03-01"].intersection_estimate - 100) < 20
+    got = {(r.kind, r.tenant, r.cluster): r for r in D.cluster_overlap(log(spark, rows)).collect()}
+    assert {k[1:] for k in got} == {(t, c) for t in ("a", None) for c in "xy"} and got["series_id", "a", "x"].next_cluster == "y"
+    assert D.next_day_overlap(log(spark, rows).limit(0)).count() == 0 == D.cluster_overlap(log(spark, rows).limit(0)).count()
 
 
 # ----------------------------------------------------------------------------------------------- frequent
@@ -163,6 +204,18 @@ def test_many_parts_give_the_same_counts(spark, monkeypatch):
     samples = spark.createDataFrame([(1, t + i * 15_000, float(i), None, AT) for i in range(4000)], "series_id bigint, ts_ms bigint, value double, labels_crc32 bigint, ingested_at timestamp_ntz")
     series = spark.createDataFrame([(1, 1, "m", {"service": "a"}, None, AT)], "reg_id bigint, series_id bigint, metric string, labels map<string,string>, labels_crc32 bigint, registered_at timestamp_ntz")
     parts = Q.partials(samples, series)
-    assert parts.count() > 20
+    assert parts.count() > 8  # from all tasks
     r = Q.joined(parts, ["metric", "label_name"]).where("label_name = 'service' and share = 0.9").first()
     assert r.n == 4000 and abs(r.value - 3599) <= r.rank_error * 4000 + 1
+
+
+def test_a_hot_day_a_stray_day_and_other_labels(spark, monkeypatch):
+    monkeypatch.setattr(Q, "ROWS_PER_PART", 100)
+    t = 1_456_790_400_000
+    rows = [(1, t + i * 20_000, float(i), None, AT) for i in range(4000)] + [(1, 0, 5.0, None, AT), (1, t + 40 * 86_400_000, 6.0, None, AT)]
+    samples = spark.createDataFrame(rows, "series_id bigint, ts_ms bigint, value double, labels_crc32 bigint, ingested_at timestamp_ntz")
+    series = spark.createDataFrame([(1, 1, "m", {"pod": "a", "env": "e"}, None, AT)], "reg_id bigint, series_id bigint, metric string, labels map<string,string>, labels_crc32 bigint, registered_at timestamp_ntz")
+    parts = Q.partials(samples, series, labels=("pod", "env"))
+    assert parts.where("label_name = 'pod' and day = '2016-03-01'").count() > 4
+    got = {(r.day, r.label_name, r.label_value): r.n for r in Q.joined(parts, ["day", "label_name", "label_value"]).where("share = 0.5").collect()}
+    assert got == {(d, *g): n for d, n in (("1970-01-01", 1), ("2016-03-01", 4000), ("2016-04-10", 1)) for g in (("", ""), ("pod", "a"), ("env", "e"))}
