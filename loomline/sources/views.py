@@ -68,13 +68,19 @@ def order_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stored_samples(spark: SparkSession, sf: str) -> DataFrame:
-    """The samples table as series: counting rows only, labels and metric from timeseries, ``env`` in lower case."""
+    """The samples table as series: counting rows only, labels and metric from timeseries, ``env`` in lower case.
+
+    Samples meet their series before the rows that count are chosen, and are grouped by what a series
+    is: a selector's conditions on metric and labels thereby reach below that grouping, so that only the
+    selected series are shuffled. The series side is broadcast after its size was checked.
+    """
     rows = table(spark, sf, "samples").where("value is not null and series_id is not null")
-    counting = rows.groupBy("series_id", "ts_ms").agg(F.max_by("value", F.coalesce("ingested_at", F.lit("1970-01-01").cast("timestamp_ntz"))).alias("value"))
     dims = series_dims(table(spark, sf, "timeseries"))
     lower = F.transform_values("labels", lambda k, v: F.when(k == "env", F.lower(v)).otherwise(v))
     keyed = dims.select("series_id", "metric", L.key_of_map(lower).alias("lkey"))
-    return counting.join(keyed, "series_id").select("metric", "lkey", "ts_ms", "value")
+    joined = rows.select("series_id", "ts_ms", "value", "ingested_at").join(keyed, "series_id")
+    counting = joined.groupBy("series_id", "metric", "lkey", "ts_ms").agg(F.max_by("value", F.coalesce("ingested_at", F.lit("1970-01-01").cast("timestamp_ntz"))).alias("value"))
+    return counting.select("metric", "lkey", "ts_ms", "value")
 
 
 SQL_VIEWS = {
