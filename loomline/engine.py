@@ -10,18 +10,23 @@ from pyspark.sql import functions as F
 
 from loomline.functions import labels as L
 from loomline.plans.compiler import Compiler, Grid, Options, Scalar, Vector
+from loomline.sources.monitor import STATS, Stats
 from loomline.plans.syntax import Matcher, QueryError, Selector, parse
 
 
 class Engine:
     """Queries over samples (metric, labels or lkey, ts_ms, value [, fields, date, promoted label columns])."""
 
-    def __init__(self, spark: SparkSession, samples: DataFrame, lookback_ms: int = 300_000, reset: str = "new"):
-        self.spark, self.options = spark, Options(lookback_ms, reset)
+    def __init__(self, spark: SparkSession, samples: DataFrame, lookback_ms: int = 300_000, reset: str = "new", stale_ms: int | None = None, stats: Stats | None = None):
+        self.spark, self.options, self.stats = spark, Options(lookback_ms, reset, stale_ms), stats or STATS
         self.samples = samples if "lkey" in samples.columns else samples.withColumn("lkey", L.key_of_map(F.col("labels")))
 
     def range(self, query: str, start_ms: int, end_ms: int, step_ms: int) -> DataFrame:
         """lkey, step (ms), value at every step with a result."""
+        with self.stats.query():
+            return self.planned(query, start_ms, end_ms, step_ms)
+
+    def planned(self, query: str, start_ms: int, end_ms: int, step_ms: int) -> DataFrame:
         g = Grid(start_ms, end_ms, step_ms)
         c = Compiler(self.spark, self.samples, self.options)
         out = c.run(parse(query), g)

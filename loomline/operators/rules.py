@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -41,17 +42,49 @@ def shaped(rule: RecordingRule, result: DataFrame) -> DataFrame:
 
 
 def record(engine: Engine, rule: RecordingRule, at_ms: int) -> DataFrame:
-    """The rule at one time. With ``stale_ms``, only series that have a sample of that age or younger."""
-    out = engine.instant(rule.query, at_ms)
-    if rule.stale_ms is not None:
-        young = Engine(engine.spark, engine.samples, rule.stale_ms, engine.options.reset)
-        young.options.lookback_ms = min(rule.stale_ms, engine.options.lookback_ms)
-        out = young.instant(rule.query, at_ms)
-    return shaped(rule, out)
+    """The rule at one time. With ``stale_ms``, from series only that have a sample younger than that."""
+    return shaped(rule, watchful(engine, rule).instant(rule.query, at_ms))
+
+
+def watchful(engine: Engine, rule: RecordingRule) -> Engine:
+    """The engine that a rule is evaluated by: series whose newest sample is stale give no result, in windows as in instants."""
+    if rule.stale_ms is None:
+        return engine
+    back = min(rule.stale_ms, engine.options.lookback_ms)
+    return Engine(engine.spark, engine.samples, back, engine.options.reset, rule.stale_ms, engine.stats)
 
 
 def backfill(engine: Engine, rule: RecordingRule, start_ms: int, end_ms: int, step_ms: int = 60_000) -> DataFrame:
-    return shaped(rule, engine.range(rule.query, start_ms, end_ms, step_ms))
+    return shaped(rule, watchful(engine, rule).range(rule.query, start_ms, end_ms, step_ms))
+
+
+def parse_rules(text: str) -> list[RecordingRule]:
+    """Rules written ``name|query|interval_ms``, one a line; blank lines and lines that begin with # are left out.
+
+    The name ends at the first bar and the interval begins after the last, so a query may hold bars.
+    """
+    out = []
+    for number, line in enumerate(text.splitlines(), 1):
+        line = line.strip()
+        if not line or line.startswith("#"):
+            continue
+        name, bar, rest = line.partition("|")
+        query, bar2, interval = rest.rpartition("|")
+        if not (bar and bar2 and name.strip() and re.fullmatch(r"\s*\d+\s*", interval) and int(interval) > 0):
+            raise QueryError(f"line {number}: expected name|query|interval_ms")
+        parse(query.strip())
+        out.append(RecordingRule(name.strip(), query.strip(), int(interval)))
+    return out
+
+
+def parse_drop_rules(text: str) -> DropRules:
+    """A selector a line; a line ``prefix*`` drops by prefix of the metric name."""
+    lines = [x for x in map(str.strip, text.splitlines()) if x and not x.startswith("#")]
+    rules = DropRules([x for x in lines if not re.fullmatch(r"[\w:.]+\*", x)], [x[:-1] for x in lines if re.fullmatch(r"[\w:.]+\*", x)])
+    for s in rules.selectors:
+        if not isinstance(parse(s), Selector):
+            raise QueryError("a drop rule is a plain selector")
+    return rules
 
 
 def backoff_s(failures: int) -> int:

@@ -16,7 +16,7 @@ rates are not extrapolated and need two samples; a counter reset counts the new
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,6 +47,7 @@ class Grid:
 class Options:
     lookback_ms: int = 300_000
     reset: str = "new"
+    stale_ms: int | None = None  # window functions give nothing where the newest sample of the window is older
 
 
 @dataclass
@@ -266,9 +267,18 @@ class Compiler:
         if m.at is not None:
             one = self.window(name, Matrix(m.df, m.range_ms, m.offset_ms, m.name, m.phase), Grid(m.at, m.at, 1), extra).select("lkey", "value")
             return one.crossJoin(F.broadcast(self.grid_df(g))).select("lkey", "step", "value")
+        if self.options.stale_ms is not None:
+            return self.fresh(name, m, g, extra)
         out = self.paired(name, m, g) if name in ("rate", "increase", "changes", "resets", "irate", "idelta") else self.plain(name, m, g, extra)
         return out.select("lkey", (F.col("k") * g.step + g.start).alias("step"), "value")
 
+    def fresh(self, name: str, m: Matrix, g: Grid, extra: list) -> DataFrame:
+        """As ``window``, where the newest sample of the window is at most ``stale_ms`` older than the step."""
+        plain = Compiler(self.spark, self.samples, replace(self.options, stale_ms=None)).window(name, m, g, extra)
+        newest = self.fan(m, g, m.df).groupBy("lkey", "k").agg(F.max("ts_ms").alias("t")).select("lkey", (F.col("k") * g.step + g.start).alias("step"), "t")
+        young = newest.where(F.col("t") > F.col("step") - F.lit(m.offset_ms + self.options.stale_ms))
+        return plain.join(young.select("lkey", "step"), ["lkey", "step"], "left_semi").select("lkey", "step", "value")
+
     def paired(self, name: str, m: Matrix, g: Grid) -> DataFrame:
         v, p = F.col("value"), F.col("prev")
         reset = v if self.options.reset == "new" else p + v
@@ -440,6 +450,11 @@ class Compiler:
         twice = F.raise_error(F.concat(F.lit("several series on the one side match the labels "), F.regexp_replace("mkey", "[\\x01\\x02]", " ")))
         one = one.groupBy(*on).agg(F.first("lkey").alias("one_key"), F.first("value").alias("one_value"), F.count(F.lit(1)).alias("c"))
         one = one.withColumn("one_value", F.when(F.col("c") > 1, twice.cast("double")).otherwise(F.col("one_value")))
+        if not how.group:
+            # one to one: the left side may not repeat a match key either; it is grouped as the join needs it anyway
+            many = many.groupBy(*on).agg(F.first("lkey").alias("lkey"), F.first("value").alias("value"), F.count(F.lit(1)).alias("c"))
+            both = F.raise_error(F.concat(F.lit("several series on the left side match the labels "), F.regexp_replace("mkey", "[\\x01\\x02]", " ")))
+            many = many.withColumn("value", F.when(F.col("c") > 1, both.cast("double")).otherwise(F.col("value"))).drop("c")
         j = many.join(one.drop("c"), on)
         x, y = (F.col("one_value"), F.col("value")) if many_right else (F.col("value"), F.col("one_value"))
         key = F.col("lkey")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,8 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 #: A side is broadcast only when it was counted and has at most this many rows, and its rows at most this many bytes.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+#: The application whose workers have this package.
+SHIPPED: dict[str, str] = {}
 #: Bytes that a value of a type of fixed size takes in a row; texts and the like are measured.
 FIXED_BYTES = 8
 
@@ -32,9 +37,28 @@ def session(app: str = "loomline", master: str = "local[8]", shuffle_partitions:
         b = b.config(k.replace("__", "."), v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's modules to the Python workers, once a session; workers may have no copy on their path."""
+    sc = spark.sparkContext
+    if SHIPPED.get("app") == sc.applicationId:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="loomline-")  # on the driver, which serves the file itself as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, f"loomline-{sc.applicationId}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    z.write(os.path.join(at, f), os.path.join("loomline", os.path.relpath(os.path.join(at, f), root)))
+    sc.addPyFile(path)
+    SHIPPED["app"] = sc.applicationId
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by the cluster; a local folder only where none is set (tests)."""
     jsc = spark.sparkContext._jsc.sc()

@@ -25,12 +25,36 @@ def rolled(samples: DataFrame, width: str = "5 minutes", slide: str | None = Non
     return rows.groupBy(F.window("event_time", width, slide), "metric", "lkey").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.min("value").alias("low"), F.max("value").alias("high")).select(F.unix_millis(F.col("window.start")).alias("ts_ms"), "metric", "lkey", "n", "total", "low", "high")
 
 
-def drained(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Run an aggregating stream over what is there now; its last complete result, kept in ``path``."""
+def drained(stream: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("metric", "lkey", "ts_ms"), every: str | None = None) -> DataFrame:
+    """Run an aggregating stream over what is there now; its result, kept in ``path``.
+
+    Every batch writes only the windows it changed, under its own number, so the watermark bounds the
+    state; readers take a window's row of the highest number. A batch run again writes the same folder.
+    """
     def batch(df: DataFrame, number: int) -> None:
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(f"{path}/number={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**trigger(every)).start().awaitTermination()
+    rows = stream.sparkSession.read.schema(stream.schema.add("number", "long")).parquet(path)
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "number").alias("x")).select(*keys, "x.*")
+
+
+def trigger(every: str | None) -> dict:
+    """What is there now, or on and on at an interval such as ``30 seconds``."""
+    return {"processingTime": every} if every else {"availableNow": True}
+
 
-    stream.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def sessions(samples: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """Count and sum per series and session: samples with no more than ``gap`` between them. ``ts_ms`` is its first sample's time."""
+    rows = samples if "event_time" in samples.columns else samples.withColumn("event_time", F.timestamp_millis("ts_ms")).withWatermark("event_time", late)
+    sums = rows.groupBy(F.session_window("event_time", gap), "metric", "lkey").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("ts_ms").alias("last_ms"))
+    return sums.select(F.unix_millis(F.col("session_window.start")).alias("ts_ms"), "metric", "lkey", "n", "total", "last_ms")
+
+
+def appended(stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> DataFrame:
+    """Run a stream over what is there now and append what is final: windows that the watermark has passed."""
+    stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(**trigger(every)).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
@@ -57,12 +81,13 @@ def due(rule: RecordingRule, done_ms: int | None, first_ms: int, last_ms: int) -
 PROGRESS = "name string, at_ms bigint, number bigint"
 
 
-def ingest(samples: DataFrame, path: str, checkpoint: str, rules: list[RecordingRule] | None = None, drop: DropRules | None = None, lookback_ms: int = 300_000) -> StreamingQuery:
+def ingest(samples: DataFrame, path: str, checkpoint: str, rules: list[RecordingRule] | None = None, drop: DropRules | None = None, lookback_ms: int = 300_000, every: str | None = None) -> StreamingQuery:
     """Append every batch to the store and run the recording rules on their grids up to the batch's last time.
 
     A rule is evaluated at every interval since it was last done (kept in ``checkpoint``/rules), in the
     first batch since that batch's first time, over all samples its query reaches back to. A failing rule
-    waits and then goes on where it stood.
+    waits and then goes on where it stood. ``every``: a processing-time interval at which batches are
+    taken on and on; without it, what is there now is taken and the query ends.
 
     A batch that is run again writes the same rows with the same ``written_at`` (the batch number), and
     reads resolve repeated rows by ``store.newest``, so replays change nothing.
@@ -83,11 +108,8 @@ def ingest(samples: DataFrame, path: str, checkpoint: str, rules: list[Recording
                 engine = Engine(spark, read, lookback_ms)
                 if times[0] == times[1]:
                     store.write(record(engine, r, times[1]), path, number)
-                elif r.stale_ms is None:
-                    store.write(backfill(engine, r, *times, r.interval_ms), path, number)
                 else:
-                    young = Engine(spark, read, min(r.stale_ms, lookback_ms))
-                    store.write(backfill(young, r, *times, r.interval_ms), path, number)
+                    store.write(backfill(engine, r, *times, r.interval_ms), path, number)
                 r.failures, r.next_run_ms = 0, times[1] + r.interval_ms
                 made.append((r.name, times[1], number))
             except Exception:  # noqa: BLE001 - the other rules of the group go on
@@ -108,4 +130,4 @@ def ingest(samples: DataFrame, path: str, checkpoint: str, rules: list[Recording
         finally:
             kept.unpersist()
 
-    return samples.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return samples.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**trigger(every)).start()
