@@ -38,13 +38,14 @@ class Engine:
 
     def instant(self, query: str, at_ms: int) -> DataFrame:
         """lkey, step (the time), value; a range selector gives its raw samples with their own times."""
-        node = parse(query)
-        if isinstance(node, Selector) and node.range_ms is not None:
-            c = Compiler(self.spark, self.samples, self.options)
-            c.query_grid = Grid(at_ms, at_ms, 1)
-            m = c.matrix(node, c.query_grid)
-            return c.renamed(m.df, m.name).select("lkey", F.col("ts_ms").alias("step"), "value")
-        return self.range(query, at_ms, at_ms, 1)
+        with self.stats.query():
+            node = parse(query)
+            if isinstance(node, Selector) and node.range_ms is not None:
+                c = Compiler(self.spark, self.samples, self.options)
+                c.query_grid = Grid(at_ms, at_ms, 1)
+                m = c.matrix(node, c.query_grid)
+                return c.renamed(m.df, m.name).select("lkey", F.col("ts_ms").alias("step"), "value")
+            return self.planned(query, at_ms, at_ms, 1)
 
     def columns(self, df: DataFrame, names: list[str]) -> DataFrame:
         """A result with labels as columns, '' where absent."""

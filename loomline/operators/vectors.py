@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,61 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine
     return out
 
 
+# ---------------------------------------------------------------------------------------------------- index
+
+#: Vectors that the cells of an index are fitted on (a bounded sample, by hash of the id), and rounds of that.
+FIT_ROWS, FIT_ROUNDS = 20_000, 12
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def fit_cells(vectors: DataFrame, cells: int, vec_id: str = "vec_id", embedding: str = "embedding") -> np.ndarray:
+    """Centres of ``cells`` cells by spherical k-means over at most FIT_ROWS vectors."""
+    rows = vectors.where(F.col(embedding).isNotNull()).orderBy(F.xxhash64(vec_id), vec_id).select(embedding).limit(FIT_ROWS).collect()
+    x = unit(np.array([r[0] for r in rows], float)) if rows else np.zeros((0, 1))
+    if len(x) <= cells:
+        return x
+    centres = x[:cells].copy()
+    for _ in range(FIT_ROUNDS):
+        at = np.argmax(x @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, at, x)
+        used = np.bincount(at, minlength=cells) > 0
+        centres[used] = unit(sums[used])
+    return centres
+
+
+def nearest_cells(embedding: Column, centres: np.ndarray, n: int) -> Column:
+    """Numbers of the ``n`` cells whose centres are nearest by angle, nearest first."""
+    centres = centres.astype(np.float32)
+
+    @F.pandas_udf("array<int>")
+    def run(v: pd.Series) -> pd.Series:
+        near = np.stack(v.to_list()).astype(np.float32) @ centres.T if len(v) else np.zeros((0, len(centres)))
+        return pd.Series(list(np.argsort(-near, axis=1, kind="stable")[:, :n].astype(np.int32)))
+
+    return run(embedding)
+
+
+def indexed(vectors: DataFrame, centres: np.ndarray, embedding: str = "embedding") -> DataFrame:
+    """All vectors with their cell; write it partitioned or bucketed by ``cell`` to keep it."""
+    return vectors.where(F.col(embedding).isNotNull()).withColumn("cell", F.element_at(nearest_cells(F.col(embedding), centres, 1), 1))
+
+
+def index_search(index: DataFrame, queries: DataFrame, centres: np.ndarray, k: int, probes: int, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """Top k by cosine among the vectors of each query's ``probes`` nearest cells: a share of probes/cells of all pairs.
+
+    A join on the cell, which adaptive execution splits where a cell is large; every task keeps k rows a
+    query (a limit in the window's order) before they meet.
+    """
+    asked = queries.where("query is not null").select("query_id", "query", F.explode(nearest_cells(F.col("query"), centres, probes)).alias("cell"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), vec_id)
+    scored = index.join(asked, "cell").select("query_id", vec_id, similarity(F.col(embedding), F.col("query")).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def quantized(embedding: Column, chunks: int = 8) -> Column:
     """Means of at most ``chunks`` equal slices."""
     size = F.greatest(F.ceil(F.size(embedding) / chunks), F.lit(1)).cast("int")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from loomline.operators import vectors as V
 from loomline.operators.rules import DropRules, RecordingRule, backfill, record
 from loomline.plans.catalog import AT, BACK, CUT, END, ES, RATE, SQL_VIEWS, STEP, TWO, inst, wq
 from loomline.plans.problems import INTERVAL_SQL
-from loomline.runtime import ensure_checkpoint_dir
+from loomline.runtime import shared_folder
 from loomline.sources import ingest, store
 from loomline.sources.tables import series_dims, table
 from loomline.sources.views import DAY, T0, event_metrics, millis, stored_samples
@@ -193,8 +191,7 @@ def t_stream_rollup(spark: SparkSession, sf: str) -> DataFrame:
     stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")  # a pattern: the table may be a file
     # events of a series within one ms are different events here, so each is a series of its own
     rows = stream.select(F.lit("event_value").alias("metric"), F.col("event_type").alias("lkey"), millis("ts").alias("ts_ms"), "value")
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    base = shared_folder(spark, "stream")
     out = live.drained(live.rolled(rows, "1 hour", late="60 days"), f"{base}/out", f"{base}/state")
     return out.select(F.col("lkey").alias("event_type"), "ts_ms", "n", cut(F.col("total"), 2).alias("total"), "low", "high")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.engine import selector_condition
 from loomline.plans.syntax import QueryError, Selector, parse
+from loomline.runtime import cut
 
 SCHEMA = "metric string, lkey string, ts_ms bigint, value double, written_at bigint, date date"
 #: Rows of a file; a sorted file of this size has row groups narrow enough to be skipped by metric.
@@ -53,6 +54,23 @@ def compact(spark: SparkSession, path: str, out: str) -> None:
     df.repartition("date", F.pmod(F.xxhash64("metric", "lkey"), F.lit(16))).sortWithinPartitions("date", "metric", "lkey", "ts_ms").write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS).partitionBy("date").parquet(out)
 
 
+def compact_small(spark: SparkSession, path: str, least_rows: int = FILE_ROWS // 20) -> list[str]:
+    """Rewrite, in place, the days whose files hold fewer than ``least_rows`` rows on average; answers these days.
+
+    Days are counted by file first, so days that are well stored are not read again. What is rewritten is
+    kept in the checkpoint folder before a day's files are replaced, so no loss of executors can lose it.
+    """
+    files = spark.read.schema(SCHEMA).parquet(path).groupBy("date", F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    days = files.groupBy("date").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("rows")).where((F.col("files") > 1) & (F.col("rows") < F.col("files") * least_rows))
+    small = [r.date for r in days.select("date").orderBy("date").limit(100_000).collect()]  # one date a day of samples
+    if small:
+        rows = cut(newest(read(spark, path).where(F.col("date").isin(small))))
+        spread = rows.join(F.broadcast(rows.groupBy("date").agg(F.ceil(F.count(F.lit(1)) / FILE_ROWS).alias("parts"))), "date")
+        spread = spread.repartition("date", F.pmod(F.xxhash64("metric", "lkey"), F.col("parts"))).drop("parts").sortWithinPartitions("date", "metric", "lkey", "ts_ms")
+        spread.select("metric", "lkey", "ts_ms", "value", "written_at", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("date").parquet(path)
+    return [str(d) for d in small]
+
+
 def without(samples: DataFrame, selectors: list[str]) -> DataFrame:
     """Samples of no series that one of the selectors matches (series deletion)."""
     hit = F.lit(False)

@@ -1,6 +1,7 @@
 import json
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +9,8 @@ from loomline.engine import Engine
 from loomline.functions import labels as L
 from loomline.operators import sketches as K
 from loomline.operators import vectors as V
-from loomline.operators.rules import DropRules, RecordingRule, backoff_s, record, run_group
+from loomline.operators.rules import DropRules, RecordingRule, backoff_s, parse_drop_rules, parse_rules, record, run_group
+from loomline.plans.syntax import QueryError
 from loomline.sources import ingest, store
 from loomline.streaming import live
 
@@ -76,6 +78,61 @@ def test_rules(spark):
     assert record(e, RecordingRule("r", "m", stale_ms=500), T + 9000).count() == 1
 
 
+def test_rules_from_text():
+    got = parse_rules("# comment\n a | sum by (x) (m{y=~\"1|2\"}) |500\n\nb|1|60000")
+    assert [(r.name, r.query, r.interval_ms) for r in got] == [("a", 'sum by (x) (m{y=~"1|2"})', 500), ("b", "1", 60_000)]
+    for bad in ("a|b", "a|m|x", "|m|5", "a|m|0", "a|sum(|5"):
+        with pytest.raises(QueryError):
+            parse_rules(bad)
+    rules = parse_drop_rules('m{a="b"}\nsys_*\n')
+    assert rules.selectors == ['m{a="b"}'] and rules.prefixes == ["sys_"]
+    with pytest.raises(QueryError):
+        parse_drop_rules("sum(m)")
+
+
+def test_repeated_match_keys_on_the_left_are_an_error(spark):
+    df = ingest.from_rows(spark, [({"__name__": "a", "x": x, "y": "1"}, T, 1.0) for x in "pq"] + [({"__name__": "b", "y": "1"}, T, 2.0)])
+    e = Engine(spark, df)
+    with pytest.raises(Exception, match="left side"):
+        e.instant("a / on (y) b", T).collect()
+    assert e.instant("a / on (y) group_left () b", T).count() == 2
+
+
+def test_stale_windows_give_no_rule_result(spark):
+    e = Engine(spark, rows(spark).unionByName(rows(spark, 3, "old")))
+    rule = lambda q: record(e, RecordingRule("r", q, stale_ms=5000), T + 9000)
+    assert rule("count_over_time(m[1h])").count() == 2 and rule("count_over_time(old[1h])").count() == 0
+    assert rule("sum(rate(old[1h]))").count() == 0 and rule("sum(rate(m[1h]))").count() == 1
+
+
+def test_only_days_of_small_files_are_compacted(spark, tmp_path):
+    p, day = str(tmp_path / "s"), 86_400_000
+    store.write(rows(spark, 200).repartition(1), p, 1)
+    store.write(rows(spark, 1, start=T + day), p, 2)
+    for k in range(3):
+        store.write(rows(spark, 5, start=T + 2 * day, add=float(k)), p, 3 + k)
+    assert store.compact_small(spark, p, 8) == ["2024-01-03"]
+    got = store.read(spark, p)
+    assert {str(r.date): r.n for r in got.groupBy("date").agg(F.count(F.lit(1)).alias("n")).collect()} == {"2024-01-01": 200, "2024-01-02": 1, "2024-01-03": 5}
+    assert {r.value for r in got.where("date = '2024-01-03'").collect()} == {2.0, 3.0, 4.0, 5.0, 6.0}
+    assert store.compact_small(spark, p, 8) == []
+
+
+def test_index_search(spark):
+    g = np.random.default_rng(1)
+    centres = g.standard_normal((10, 16))
+    x = np.repeat(centres, 60, axis=0) + 0.2 * g.standard_normal((600, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None)], "vec_id long, embedding array<float>")
+    q = df.where("vec_id % 100 = 0").selectExpr("vec_id as query_id", "embedding as query")
+    cells = V.fit_cells(df, 10)
+    index = V.indexed(df, cells)
+    assert index.count() == 600
+    got = {(r.query_id, r.vec_id) for r in V.index_search(index, q, cells, 10, 3).collect()}
+    want = {(r.query_id, r.vec_id) for r in V.search(df, q, 10).collect()}
+    assert len(got) == 60 and len(got & want) >= 0.9 * len(want)
+    assert V.index_search(V.indexed(df.limit(0), cells), q, cells, 10, 3).count() == 0
+
+
 def test_drop_rules(spark):
     df = rows(spark).unionByName(rows(spark, name="debug_x"))
     kept = DropRules(['m{s="1"}'], ["debug_"]).apply(df)
