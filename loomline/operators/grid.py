@@ -12,7 +12,11 @@ deviation; where the two lie more than ``AWAY_MS`` apart the source was away and
 Defined cases. Null and NaN values are no readings; of several rows with one time the last ingested
 counts. An infinite reading occupies its slot but is not believed. Before a source's first finite
 reading the value is null. Sources missing from the series table have the default interval of one
-minute. Empty tables give empty results.
+minute. Empty tables give empty results. A source's first slot is valued at its first reading, all
+others at ``slot_ms``.
+
+Blocks and windows are smoothed with readings of their neighbours as context, not with the whole series;
+noise shares are those of the block and its context.
 """
 
 from __future__ import annotations
@@ -131,8 +135,8 @@ def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g, np.arange(len(g)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def fill(ts: np.ndarray, x: np.ndarray, step: np.ndarray, starts: np.ndarray, left: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Value and standard deviation at ``slots``, each between reading ``left`` and the next one of its group."""
+def fill(ts: np.ndarray, x: np.ndarray, step: np.ndarray, starts: np.ndarray, left: np.ndarray, slots: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Value and standard deviation at ``slots``, each between reading ``left`` and the next one of its group, then those of the readings ``at``."""
     n = len(x)
     group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     origin = ts[starts[:-1]]
@@ -160,6 +164,8 @@ def fill(ts: np.ndarray, x: np.ndarray, step: np.ndarray, starts: np.ndarray, le
     mine = tuple(f[:, left])
     here = predict(*mine, dt1, q[left], w[left])
     m0, _, p00, _, _ = back(here, predict(*here, dt2, q[left], w[left]), tuple(s[:, left + 1]), dt2)
+    if at is not None:
+        g, m0, p00 = np.r_[g, group[at]], np.r_[m0, s[0, at]], np.r_[p00, s[2, at]]
     value = np.where(seen[g], m0 * unit[g] + mid[g], np.nan)
     return value, np.where(seen[g], np.sqrt(np.maximum(p00, 0.0)) * unit[g], np.nan)
 
@@ -186,22 +192,19 @@ def make_kernel(everything: bool):
         left, k = spread(holes)
         at = slot[left] + (k + 1) * step[left]
         rows = {"series_id": sid[left], "slot_ms": at, "missing": np.ones(len(left), bool), "n_readings": np.zeros(len(left), np.int32)}
-        here, first = left, np.zeros(0, int)
+        begin = np.zeros(0, int)
         if everything:
-            # a slot with readings belongs to the block of its first reading, and is valued there
+            # a slot with readings belongs to the block of its first reading; its time lies between that and the reading before
             head = np.r_[True, (slot[1:] != slot[:-1]) | (group[1:] != group[:-1])] if n else np.zeros(0, bool)
             count = np.diff(np.r_[np.flatnonzero(head), n])
             pick = home[head]
             first, count = np.flatnonzero(head)[pick], count[pick]
-            rows = {"series_id": np.r_[rows["series_id"], sid[first]], "slot_ms": np.r_[at, slot[first]], "missing": np.r_[rows["missing"], np.zeros(len(first), bool)], "n_readings": np.r_[rows["n_readings"], count].astype(np.int32)}
-        value, sd = fill(ts, x, step.astype(float), edges, here, at) if n and (len(here) or len(first)) else (np.zeros(0), np.zeros(0))
-        if len(first):
-            inner = np.minimum(first, n - 1)
-            stay = np.where(tail[inner], np.maximum(inner - 1, 0), inner)
-            alone = tail[inner] & np.r_[True, group[1:] != group[:-1]][inner]
-            v2, s2 = fill(ts, x, step.astype(float), edges, np.where(alone, 0, stay), np.where(alone, ts[0], ts[inner])) if n > 1 else (x[inner], np.zeros(len(inner)))
-            v2, s2 = np.where(alone, x[inner], v2), np.where(alone, 0.0, s2)
-            value, sd = np.r_[value, v2], np.r_[sd, s2]
+            opens = np.r_[True, group[1:] != group[:-1]][first] if n else np.zeros(0, bool)
+            begin, first, count = first[opens], first[~opens], np.r_[count[~opens], count[opens]]  # nothing stands before a source's first reading
+            every = np.r_[first, begin]
+            rows = {"series_id": np.r_[rows["series_id"], sid[every]], "slot_ms": np.r_[at, slot[every]], "missing": np.r_[rows["missing"], np.zeros(len(every), bool)], "n_readings": np.r_[rows["n_readings"], count].astype(np.int32)}
+            left, at = np.r_[left, first - 1], np.r_[at, slot[first]]
+        value, sd = fill(ts, x, step.astype(float), edges, left, at, begin) if len(left) or len(begin) else (np.zeros(0), np.zeros(0))
         # open ends: a gap may reach from the block's last reading beyond its context
         lone_end = np.flatnonzero(home & tail)
         # the first own reading of a block is out of its predecessor's sight beyond the context
@@ -257,8 +260,7 @@ def bridge(batches):
 def regular_grid(samples: DataFrame, timeseries: DataFrame, everything: bool = True) -> DataFrame:
     """series_id, slot_ms, value, sd, n_readings, missing on each source's regular grid.
 
-    ``everything`` false: only missing slots. Values of slots with readings are the smoothed value at
-    the slot's first reading. One shuffle of the samples; the result is kept in the checkpoint folder,
+    ``everything`` false: only missing slots. Values are those at ``slot_ms``, also of slots with readings. One shuffle of the samples; the result is kept in the checkpoint folder,
     because the few gaps that reach over a block's end are filled from what its neighbours report.
     """
     dims = series_dims(timeseries).select("series_id", "interval_ms")
