@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.llm import checks
 from loomline.llm.distinct import cluster_overlap, distinct_counts, next_day_overlap
 from loomline.llm.frequent import frequent_items
 from loomline.llm.leaks import leaks
 from loomline.llm.lookalike import look_classes, normalized, same_look_pairs
 from loomline.llm.packing import containers
 from loomline.llm.quantiles import joined, partials
-from loomline.llm.sql import SQL  # noqa: F401
+from loomline.llm.sql import SQL
 from loomline.sources.tables import table
 
 
@@ -83,4 +84,5 @@ def p9_classes(spark: SparkSession, sf: str) -> DataFrame:
     return look_classes(table(spark, sf, "documents"))
 
 
-QUERIES = {"p2_distinct": p2_distinct, "p2_next_day": p2_next_day, "p2_clusters": p2_clusters, "p4_found": p4_found, "p4_values": p4_values, "p4_series": p4_series, "p5_percentiles": p5_percentiles, "p5_all_days": p5_all_days, "p7_containers": p7_containers, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_texts": p9_texts, "p9_classes": p9_classes}
+QUERIES = {"p2_distinct": p2_distinct, "p2_next_day": p2_next_day, "p2_clusters": p2_clusters, "p4_found": p4_found, "p4_values": p4_values, "p4_series": p4_series, "p5_percentiles": p5_percentiles, "p5_all_days": p5_all_days, "p7_containers": p7_containers, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_texts": p9_texts, "p9_classes": p9_classes, **checks.QUERIES}
+SQL = SQL | checks.SQL
