@@ -21,6 +21,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import pandas as pd
 import pyarrow as pa
@@ -52,15 +53,13 @@ NUMERIC = set("0123456789+-.")
 ROLES = ("series_id", "sid", "seriesId")
 
 
+#: JSON type of what a value is read as.
+KINDS = {bool: "boolean", int: "integer", float: "fraction", str: "string", dict: "object", list: "array"}
+
+
 def kind_of(v: object) -> str:
     """JSON type: boolean, integer, fraction, string, object, array."""
-    if isinstance(v, bool):
-        return "boolean"
-    if isinstance(v, int):
-        return "integer"
-    if isinstance(v, float):
-        return "fraction"
-    return "string" if isinstance(v, str) else "object" if isinstance(v, dict) else "array"
+    return KINDS[type(v)]
 
 
 def pairs_of(v: object) -> list[tuple[str, str]] | None:
@@ -151,17 +150,22 @@ class Profile:
     def field(self, name: str) -> dict:
         return self.fields.setdefault(name, {"types": {}, "forms": {}, "inner": {}})
 
-    def add(self, o: dict) -> None:
+    def add(self, o: dict, forms: bool = True) -> None:
+        """Count in a record. ``forms``: also what its values can be cast to, which only the one table needs."""
         for k, v in o.items():
             if v is None:
                 continue
-            f = self.field(k)
-            kind = kind_of(v)
-            f["types"][kind] = f["types"].get(kind, 0) + 1
-            form = form_of(v)
-            f["forms"][form] = f["forms"].get(form, 0) + 1
-            for name, _ in pairs_of(v) or ():
-                f["inner"][name] = f["inner"].get(name, 0) + 1
+            f = self.fields.get(k) or self.field(k)
+            kind = KINDS[type(v)]
+            types = f["types"]
+            types[kind] = types.get(kind, 0) + 1
+            if forms:
+                form = form_of(v)
+                f["forms"][form] = f["forms"].get(form, 0) + 1
+            if kind == "object" or kind == "array" or kind == "string" and "=" in v:
+                inner = f["inner"]
+                for name in v if kind == "object" else [name for name, _ in pairs_of(v) or ()]:
+                    inner[name] = inner.get(name, 0) + 1
 
     def merge(self, other: dict[str, dict]) -> None:
         for k, g in other.items():
@@ -287,7 +291,7 @@ def profile_row(file_id: int, p: Profile) -> tuple:
     return file_id, json.dumps(p.fields), sorted(p.fields)
 
 
-def partial_profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def partial_profiles(batches: Iterator[pd.DataFrame], forms: bool = True) -> Iterator[pd.DataFrame]:
     """Profiles of what a task sees of each file; nothing but profiles is ever shuffled."""
     held: dict[int, Profile] = {}
     n = 0
@@ -302,7 +306,7 @@ def partial_profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 p = held[f] = Profile()  # a file whose records are all unreadable is a file without fields
             o = readable(payload)
             if o is not None:
-                p.add(o)
+                p.add(o, forms)
                 n += 1
         if n >= HELD_RECORDS:
             yield emit()
@@ -388,10 +392,10 @@ def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=names)
 
 
-def file_profiles(blocks: DataFrame) -> DataFrame:
+def file_profiles(blocks: DataFrame, forms: bool = True) -> DataFrame:
     """One profile per file; every task makes partial ones of the files it sees, which are added up by file."""
-    partial = blocks.where(F.col("file_id").isNotNull()).select("file_id", "payload").mapInPandas(partial_profiles, PROFILE)
-    return cut(partial.repartition("file_id").sortWithinPartitions("file_id").mapInPandas(whole_profiles, PROFILE))
+    parts = blocks.where(F.col("file_id").isNotNull()).select("file_id", "payload").mapInPandas(partial(partial_profiles, forms=forms), PROFILE)
+    return cut(parts.repartition("file_id").sortWithinPartitions("file_id").mapInPandas(whole_profiles, PROFILE))
 
 
 def schema_changes(blocks: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
@@ -402,7 +406,7 @@ def schema_changes(blocks: DataFrame, profiles: DataFrame | None = None) -> Data
     that have both a field gone and a field come are compared by joins over all their records.
     """
     rows = blocks.where(F.col("file_id").isNotNull())
-    profiles = file_profiles(blocks) if profiles is None else profiles
+    profiles = file_profiles(blocks, forms=False) if profiles is None else profiles
     order = Window.partitionBy("writer").orderBy("written_at", "file_id")
     files = rows.groupBy("file_id").agg(F.min("writer").alias("writer"), F.min("written_at").alias("written_at"))
     pairs = files.withColumn("before", F.lag("file_id").over(order)).where("before is not null").select("file_id", "before")
