@@ -47,6 +47,9 @@ class Engine:
                 return c.renamed(m.df, m.name).select("lkey", F.col("ts_ms").alias("step"), "value")
             return self.planned(query, at_ms, at_ms, 1)
 
+    def is_scalar(self, query: str, at_ms: int) -> bool:
+        return isinstance(Compiler(self.spark, self.samples, self.options).run(parse(query), Grid(at_ms, at_ms, 1)), Scalar)
+
     def columns(self, df: DataFrame, names: list[str]) -> DataFrame:
         """A result with labels as columns, '' where absent."""
         return df.select(*[L.label(F.col("lkey"), n).alias("name" if n == L.NAME else n) for n in names], F.col("step").alias("ts_ms"), "value")
@@ -73,7 +76,10 @@ class Engine:
     def series(self, selectors: list[str] | None = None, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
         return self.matching(selectors, start_ms, end_ms).select("metric", "lkey").distinct()
 
-    def label_names(self, selectors: list[str] | None = None, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
+    def label_names(self, selectors: list[str] | None = None, start_ms: int | None = None, end_ms: int | None = None, max_span_ms: int | None = None) -> DataFrame:
+        """Names of the labels of matching series. ``max_span_ms``: a longer time range is refused, as one without bounds."""
+        if max_span_ms is not None and (start_ms is None or end_ms is None or end_ms - start_ms > max_span_ms):
+            raise QueryError(f"the time range must not be longer than {max_span_ms} ms")
         keys = self.series(selectors, start_ms, end_ms).select("lkey").distinct()
         names = keys.select(F.explode(F.map_keys(L.to_map(F.col("lkey")))).alias("label_name"))
         named = self.series(selectors, start_ms, end_ms).where("metric <> ''").limit(1).select(F.lit(L.NAME).alias("label_name"))
@@ -109,6 +115,8 @@ class Engine:
         series: dict[str, list] = {}
         for r in rows:
             series.setdefault(r.lkey, []).append([r.step / 1000, shown(r.value)])
+        if end_ms is None and self.is_scalar(query, start_ms):
+            return json.dumps({"status": "success", "data": {"resultType": "scalar", "result": series[""][-1]}})
         metric = lambda k: dict(p.split(L.PAIR, 1) for p in k.split(L.SEP) if p)
         if end_ms is None:
             result = [{"metric": metric(k), "value": p[-1]} for k, p in series.items()]

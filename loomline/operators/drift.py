@@ -48,6 +48,8 @@ ACCEPT = 0.38
 ONE_CONTENT = 0.4
 #: Records a task takes in before it hands on its partial profiles or contents.
 HELD_RECORDS = 20_000
+#: Pairs of files that a task compares, and most tasks for that.
+PAIRS_A_TASK, MOST_TASKS = 200, 10_000
 #: How a number in a string may begin.
 NUMERIC = set("0123456789+-.")
 ROLES = ("series_id", "sid", "seriesId")
@@ -415,8 +417,10 @@ def schema_changes(blocks: DataFrame, profiles: DataFrame | None = None) -> Data
     both = cut(pairs.join(new, "file_id").join(old, "before"))
     # contents matter only where a field went and another came
     moved = both.where((F.size(F.array_except("gone", "come")) > 0) & (F.size(F.array_except("come", "gone")) > 0)).select("file_id", "before")
+    # few bytes and much work a pair of files, so the number of tasks follows the number of pairs
+    tasks = min(MOST_TASKS, both.count() // PAIRS_A_TASK + 1)
     both = both.join(agreements(rows, moved), "file_id", "left")
-    return both.select("file_id", "old", "new", "counts").mapInPandas(compared, CHANGES)
+    return both.select("file_id", "old", "new", "counts").repartition(tasks, "file_id").mapInPandas(compared, CHANGES)
 
 
 # ---------------------------------------------------------------------------------------------- one table

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from loomline.plans.catalog import AT, BACK, END, ES, SQL_VIEWS, inst
 from loomline.plans.more import BOUNDS, HOUR, INSTANT_GRID, cut, events, sql_cut
 from loomline.plans.syntax import QueryError
 from loomline.runtime import shared_folder
-from loomline.sources import ingest, store
+from loomline.sources import binary, ingest, store
 from loomline.sources.monitor import JOB, Stats
 from loomline.sources.tables import table
 from loomline.sources.views import DAY, event_metrics, millis
@@ -74,6 +77,28 @@ def i_telemetry_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("metric", *label_columns(s, ["kind", "le"])).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).withColumn("total", F.when(F.col("metric") == "lat_sum", cut(F.col("total"), 2)).otherwise(F.col("total")))
 
 
+def request_bytes(bodies: pd.Series) -> pd.Series:
+    """Write requests given as JSON in their binary form."""
+    return bodies.map(lambda b: binary.encoded(json.loads(b)["timeseries"]))
+
+
+@query("SELECT event_type, (user_id % 4)::VARCHAR AS shard, count(*) AS n, floor(sum(value) * 1e2 + 0.4321) / 1e2 AS total, max(epoch_us(ts) // 1000) AS last FROM events GROUP BY ALL")
+def i_remote_write_binary(spark: SparkSession, sf: str) -> DataFrame:
+    """Write requests in their binary form, a request per event, and one that is broken."""
+    e = table(spark, sf, "events").select(millis("ts").alias("t"), "event_type", F.pmod("user_id", F.lit(4)).cast("string").alias("shard"), "value")
+    pair = lambda k, v: F.struct(F.lit(k).alias("name"), v.alias("value"))
+    labels = F.array(pair("__name__", F.lit("ev")), pair("event_type", F.col("event_type")), pair("shard", F.col("shard")))
+    body = F.to_json(F.struct(F.array(F.struct(labels.alias("labels"), F.array(F.struct("value", F.col("t").alias("timestamp"))).alias("samples"))).alias("timeseries")))
+    sent = e.select(F.pandas_udf(request_bytes, "binary")(body).alias("body")).union(spark.sql("select cast('broken' as binary) as body"))
+    s = binary.remote_write(sent)
+    return s.groupBy(*label_columns(s, ES)).agg(F.count(F.lit(1)).alias("n"), cut(F.sum("value"), 2).alias("total"), F.max("ts_ms").alias("last"))
+
+
+@query("SELECT 'event_type' AS label_name UNION ALL SELECT 'shard' UNION ALL SELECT '__name__'")
+def m_label_names_match(spark: SparkSession, sf: str) -> DataFrame:
+    return events(spark, sf, "events_total", "event_value_by_user").label_names(['events_total{shard="1"}'], AT - DAY, AT, max_span_ms=DAY)
+
+
 # ---------------------------------------------------------------------------------------------------- store
 
 

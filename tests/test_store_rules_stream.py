@@ -11,7 +11,7 @@ from loomline.operators import sketches as K
 from loomline.operators import vectors as V
 from loomline.operators.rules import DropRules, RecordingRule, backoff_s, parse_drop_rules, parse_rules, record, run_group
 from loomline.plans.syntax import QueryError
-from loomline.sources import ingest, store
+from loomline.sources import binary, ingest, store
 from loomline.streaming import live
 
 T = 1_704_067_200_000
@@ -55,6 +55,27 @@ def test_telemetry_histogram_and_refusal(spark):
         ingest.telemetry(bad).collect()
 
 
+def test_binary_write_requests(spark):
+    series = [{"labels": [{"name": "__name__", "value": "m"}, {"name": "ä", "value": "x" * 300}], "samples": [{"value": 1.5, "timestamp": T}, {"value": float("inf"), "timestamp": -5}]}, {"labels": [{"name": "__name__", "value": "n"}], "samples": []}]
+    body = binary.encoded(series)
+    assert binary.decoded(body) == [({"__name__": "m", "ä": "x" * 300}, T, 1.5), ({"__name__": "m", "ä": "x" * 300}, -5, float("inf"))]
+    plain = binary.decompressed(body)
+    assert binary.decoded(plain) == binary.decoded(body) and binary.decoded(plain + binary.chunk(9, b"later")) == binary.decoded(body)
+    df = spark.createDataFrame([(bytearray(body),), (bytearray(body[:20]),), (bytearray(b"broken"),), (bytearray(),), (None,)], "body binary")
+    assert [(r.metric, r.ts_ms, r.value) for r in binary.remote_write(df).orderBy("ts_ms").collect()] == [("m", -5, float("inf")), ("m", T, 1.5)]
+    assert binary.remote_write(df.limit(0)).count() == 0
+
+
+def test_json_result_types_and_spans(spark):
+    e = Engine(spark, rows(spark))
+    kind = lambda *a: json.loads(e.to_json(*a))["data"]["resultType"]
+    assert (kind("1 + 2", T), kind("m", T + 9000), kind("1", T, T + 1000), kind("scalar(sum(m))", T + 9000)) == ("scalar", "vector", "matrix", "scalar")
+    assert json.loads(e.to_json("1 + 2", T))["data"]["result"] == [T / 1000, "3.000000"]
+    with pytest.raises(QueryError):
+        e.label_names(None, T, T + 86_400_001, max_span_ms=86_400_000)
+    assert [r[0] for r in e.label_names(None, T, T + 1000, max_span_ms=86_400_000).collect()] == ["__name__", "s"]
+
+
 def test_rules(spark):
     src = rows(spark)
     made = []
