@@ -28,17 +28,28 @@ def shaped(df: DataFrame, metric: str, **labels: str) -> DataFrame:
     return df.select(F.lit(metric).alias("metric"), L.key_of_columns({k: F.col(v) for k, v in labels.items()}).alias("lkey"), F.col("ts_ms").cast("long").alias("ts_ms"), F.col("value").cast("double").alias("value"))
 
 
+def running(rows: DataFrame, keys: list[str], column: str, name: str = "value") -> DataFrame:
+    """Running sum of a column by time, per key: within a day by a window, plus the sum of the key's days before.
+
+    No window ever holds more than a day of a key, so a key with most of all rows is spread over its days.
+    """
+    day = rows.withColumn("day", F.floor(F.col("ts_ms") / DAY))
+    inner = Window.partitionBy(*keys, "day").orderBy("ts_ms").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # one row a day
+    before = day.groupBy(*keys, "day").agg(F.sum(column).alias("in_day")).withColumn("before", F.coalesce(F.sum("in_day").over(earlier), F.lit(0)))
+    return day.withColumn("so_far", F.sum(column).over(inner)).join(before.drop("in_day"), [*keys, "day"]).withColumn(name, F.col("before") + F.col("so_far")).drop("day", "so_far", "before")
+
+
 def event_metrics(spark: SparkSession, sf: str, only: tuple[str, ...] = ()) -> DataFrame:
     """event_value, event_value_by_user, events_total, event_amount_total, event_value_bucket, shard_weight."""
     e = table(spark, sf, "events").select("event_id", millis("ts").alias("ts_ms"), "user_id", "event_type", "value", F.pmod("user_id", F.lit(4)).cast("string").alias("shard"))
     at = lambda *keys: e.groupBy(*keys, "ts_ms").agg(F.max_by("value", "event_id").alias("value"))
-    running = Window.partitionBy("event_type", "shard").orderBy("ts_ms").rowsBetween(Window.unboundedPreceding, 0)
     sums = e.groupBy("event_type", "shard", "ts_ms").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"), *[F.count(F.when(F.col("value") <= b, 1)).alias(f"b{b}") for b in BOUNDS])
     every = {
         "event_value": lambda: shaped(at("event_type"), "event_value", event_type="event_type"),
         "event_value_by_user": lambda: shaped(at("event_type", "user_id"), "event_value_by_user", event_type="event_type", user_id="user_id"),
-        "events_total": lambda: shaped(sums.withColumn("value", F.sum("n").over(running)), "events_total", event_type="event_type", shard="shard"),
-        "event_amount_total": lambda: shaped(sums.withColumn("value", F.sum("v").over(running)), "event_amount_total", event_type="event_type", shard="shard"),
+        "events_total": lambda: shaped(running(sums, ["event_type", "shard"], "n"), "events_total", event_type="event_type", shard="shard"),
+        "event_amount_total": lambda: shaped(running(sums, ["event_type", "shard"], "v"), "event_amount_total", event_type="event_type", shard="shard"),
         "event_value_bucket": lambda: buckets(sums),
         "shard_weight": lambda: weights(spark),
     }
@@ -46,12 +57,10 @@ def event_metrics(spark: SparkSession, sf: str, only: tuple[str, ...] = ()) -> D
 
 
 def buckets(sums: DataFrame) -> DataFrame:
-    w = Window.partitionBy("event_type").orderBy("ts_ms").rowsBetween(Window.unboundedPreceding, 0)
     per = sums.groupBy("event_type", "ts_ms").agg(*[F.sum(f"b{b}").alias(str(b)) for b in BOUNDS], F.sum("n").alias("+Inf"))
     names = [str(b) for b in BOUNDS] + ["+Inf"]
-    run = per.select("event_type", "ts_ms", *[F.sum(f"`{n}`").over(w).alias(n) for n in names])
-    long = run.select("event_type", "ts_ms", F.explode(F.array(*[F.struct(F.lit(n).alias("le"), F.col(f"`{n}`").alias("value")) for n in names])).alias("x")).select("event_type", "ts_ms", "x.le", "x.value")
-    return shaped(long, "event_value_bucket", event_type="event_type", le="le")
+    long = per.select("event_type", "ts_ms", F.explode(F.array(*[F.struct(F.lit(n).alias("le"), F.col(f"`{n}`").alias("n")) for n in names])).alias("x")).select("event_type", "ts_ms", "x.le", "x.n")
+    return shaped(running(long, ["event_type", "le"], "n"), "event_value_bucket", event_type="event_type", le="le")
 
 
 def weights(spark: SparkSession) -> DataFrame:
