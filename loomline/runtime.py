@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import shutil
 import tempfile
@@ -44,29 +45,47 @@ def session(app: str = "loomline", master: str = "local[8]", shuffle_partitions:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's modules to the Python workers, once a session; workers may have no copy on their path."""
+    """Send this package's modules to the Python workers, once a session; workers may have no copy on their path.
+
+    The archive lies in the shared folder named by the cluster. Where none is named it is served by the
+    driver from a folder of its own.
+    """
     sc = spark.sparkContext
     if SHIPPED.get("app") == sc.applicationId:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    folder = tempfile.mkdtemp(prefix="loomline-")  # on the driver, which serves the file itself as long as it runs
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    path = os.path.join(folder, f"loomline-{sc.applicationId}.zip")
-    with zipfile.ZipFile(path, "w") as z:
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
         for at, _, files in os.walk(root):
             for f in sorted(files):
                 if f.endswith(".py"):
                     z.write(os.path.join(at, f), os.path.join("loomline", os.path.relpath(os.path.join(at, f), root)))
+    if sc._jsc.sc().getCheckpointDir().isDefined() or shared_conf(spark):
+        path = f"{shared_folder(spark, 'code')}/loomline-{sc.applicationId}.zip"
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at)
+        out.write(bytearray(data.getvalue()))
+        out.close()
+    else:
+        folder = tempfile.mkdtemp(prefix="loomline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = os.path.join(folder, f"loomline-{sc.applicationId}.zip")
+        with open(path, "wb") as f:
+            f.write(data.getvalue())
     sc.addPyFile(path)
     SHIPPED["app"] = sc.applicationId
 
 
+def shared_conf(spark: SparkSession) -> str | None:
+    return spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by the cluster; a local folder only where none is set (tests)."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return
-    shared = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
+    shared = shared_conf(spark)
     if not shared:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
