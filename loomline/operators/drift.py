@@ -15,6 +15,7 @@ non-null. Files of a null writer form one writer. Empty tables give empty result
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import json
 import re
@@ -427,6 +428,7 @@ def schema_changes(blocks: DataFrame, profiles: DataFrame | None = None) -> Data
 
 TABLE = "file_id bigint, row_no int, timestamp bigint, value double, series_id bigint, labels_crc32 bigint, tags string, crc_ok boolean"
 CORE_FIELDS = ("timestamp", "value", "series_id", "labels_crc32", "tags")
+EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.UTC)
 #: Types of the table's columns by the type that a field is cast to; pairs and nested values are JSON text.
 COLUMN = {"boolean": BooleanType(), "integer": LongType(), "fraction": DoubleType(), "string": StringType(), "pairs": StringType(), "nested": StringType()}
 
@@ -455,8 +457,12 @@ def canonical_names(changes: DataFrame, limit: int = 100_000) -> dict[str, str]:
     return {x: root(x) for x in list(parent) if root(x) != x}
 
 
+def tags_text(tags: list[tuple[str, str]]) -> str:
+    return ",".join(f"{k}={v}" for k, v in tags)
+
+
 def crc_of(tags: list[tuple[str, str]]) -> int:
-    return zlib.crc32(",".join(f"{k}={v}" for k, v in tags).encode())
+    return zlib.crc32(tags_text(tags).encode())
 
 
 def time_ms(v: object) -> int | None:
@@ -467,6 +473,11 @@ def time_ms(v: object) -> int | None:
     s = str(v).strip()
     if re.fullmatch(r"-?\d+(\.\d+)?", s):
         return time_ms(float(s))
+    try:
+        at = dt.datetime.fromisoformat(s)
+        return ((at if at.tzinfo else at.replace(tzinfo=dt.UTC)) - EPOCH) // dt.timedelta(milliseconds=1)
+    except ValueError:
+        pass
     t = pd.to_datetime(s, utc=True, errors="coerce")
     return None if pd.isna(t) else int(t.value // 1_000_000)
 
@@ -556,6 +567,8 @@ def form_of(v: object) -> str:
         if truth(v) is not None:
             return "text boolean"
         return "text pairs" if paired(v) is not None else "text nested" if nested(v) is not None else "text"
+    if isinstance(v, dict):  # as ``paired`` would answer, without making its text
+        return "nested" if any(isinstance(x, (dict, list)) for x in v.values()) else "pairs"
     return "pairs" if paired(v) is not None else "nested"
 
 
@@ -637,11 +650,7 @@ def under(names: dict[str, str], o: dict) -> tuple[dict, dict]:
 def united(names: dict[str, str], targets: dict[str, str], schema: pa.Schema):
     cast = [(k, CAST[t]) for k, t in targets.items()]
 
-    def tags_text(v: object) -> str | None:
-        pairs = pairs_of(v)
-        return None if pairs is None else ",".join(f"{k}={x}" for k, x in pairs)
-
-    core = [("timestamp", time_ms), ("value", number), ("series_id", whole), ("labels_crc32", whole), ("tags", tags_text)]
+    core = [("timestamp", time_ms), ("value", number), ("series_id", whole), ("labels_crc32", whole), ("tags", pairs_of)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -652,11 +661,14 @@ def united(names: dict[str, str], targets: dict[str, str], schema: pa.Schema):
                     continue
                 o, also = under(names, o)
                 got = {k: c(o[k]) for k, c in (*core, *cast) if k in o}
-                crc, pairs = got.get("labels_crc32"), pairs_of(o.get("tags"))
+                crc, tags = got.get("labels_crc32"), got.get("tags")
+                if tags is not None:
+                    got["tags"] = tags = tags_text(tags)
                 if crc is not None:
                     got["labels_crc32"] = crc = crc % 2**32
-                ok = None if crc is None or pairs is None else crc == crc_of(pairs)
-                extra = json.dumps(also | {k: v for k, v in o.items() if got.get(k) is None}, sort_keys=True)
+                ok = None if crc is None or tags is None else crc == zlib.crc32(tags.encode())
+                left = [k for k in o if got.get(k) is None]
+                extra = json.dumps(also | {k: o[k] for k in left}, sort_keys=True) if left or also else "{}"
                 for column, v in zip(out, (f, r, *(got.get(k) for k, _ in core), ok, *(got.get(k) for k, _ in cast), extra)):
                     column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, schema.types)], schema=schema)
